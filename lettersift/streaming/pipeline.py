@@ -1,0 +1,65 @@
+"""Streaming triage, repeat removal and run statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.filters import drop_late
+from ..operators.ingest import new_messages, with_hash
+from ..operators.state import advance_state
+from ..operators.triage import Scorer, classify_rules, run_stats, triage
+from ..rules import Settings
+from ..sources.tables import marks_of, read_state, recent_of, state_rows, write_version
+
+_STATE_COLUMNS = ["mailbox", "uid", "hash", "date", "subject", "received_at"]
+
+
+def triage_batch(batch: DataFrame, batch_id: int, settings: Settings, out: str, classify: Scorer = classify_rules) -> None:
+    """Process one micro-batch: judged messages, then run statistics, then state.
+
+    Judged messages are written once; statistics and state are read from what was written. The state
+    moves last, so a batch that failed starts again from the same state. Only mailboxes that occur in
+    the batch get a new state row.
+    """
+    spark = batch.sparkSession
+    state = read_state(spark, f"{out}/state", before=batch_id)
+    marks, recent = marks_of(state), recent_of(state)
+    fresh = drop_late(new_messages(with_hash(batch), recent, marks), marks)
+    write_version(triage(fresh, settings, classify), f"{out}/messages", batch_id)
+
+    written = spark.read.parquet(f"{out}/messages/version={batch_id}")
+    write_version(run_stats(written), f"{out}/run_stats", batch_id)
+    done = written.where(F.col("category").isNotNull()).select(*_STATE_COLUMNS)
+    touched = state.join(done.select("mailbox").distinct(), "mailbox", "left_semi")
+    new_marks, new_recent = advance_state(done, batch_id, marks_of(touched), recent_of(touched))
+    write_version(state_rows(new_marks, new_recent), f"{out}/state", batch_id)
+
+
+def triage_stream(messages: DataFrame, settings: Settings, out: str, checkpoint: str,
+                  every: str | None = None, classify: Scorer = classify_rules) -> StreamingQuery:
+    """Start triage on a stream of messages; without ``every`` it handles what is there and ends."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return (
+        messages.writeStream
+        .foreachBatch(lambda batch, batch_id: triage_batch(batch, batch_id, settings, out, classify))
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    )
+
+
+def dedup_stream(messages: DataFrame, delay: str = "3 days") -> DataFrame:
+    """First message of each key per mailbox on a stream.
+
+    State is kept for ``delay`` of event time, so it is bounded by the stream's rate. Messages behind
+    the watermark are dropped from the batch after it moved on; :func:`drop_late` is the exact form.
+    """
+    dated = with_hash(messages).where(F.col("received_at").isNotNull())
+    return dated.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["mailbox", "hash"])
+
+
+def windowed_stats_stream(classified: DataFrame, minutes: int = 15, delay: str = "3 days") -> DataFrame:
+    """Run statistics per schedule interval on a stream of classified messages."""
+    from ..operators.triage import run_stats_windowed
+
+    return run_stats_windowed(classified.withWatermark("received_at", delay), "received_at", minutes)
