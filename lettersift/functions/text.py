@@ -23,6 +23,11 @@ def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def sql_string(text: str) -> str:
+    """A text as a quoted literal inside an SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 

@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.model import BODY_CHARS, tagged_text
-from ..functions.text import first_chars, sanitize
+from ..functions.text import first_chars, or_empty, sanitize, sql_string
 from ..rules import (
     BASE_CONFIDENCE, CONFIDENCE_STEP, DEFAULT_CONFIDENCE, FEED_BONUS, MAX_CONFIDENCE, MIN_SCORE, OPT_OUT_TERMS,
     PROMOTION_BONUS, SCORED_CATEGORIES, KeywordRule, default_keyword_rules,
 )
 from .terms import substring_hits
 
+# Characters of a body normalised at first, and how far past the cut they must reach.
+_START_CHARS, _MARGIN = 2 * BODY_CHARS, 100
+
 
 def _column(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit("")
@@ -23,29 +26,31 @@ def _column(df: DataFrame, name: str) -> Column:
 def with_rule_texts(df: DataFrame) -> DataFrame:
     """Add the normalised texts the rules look at.
 
-    Texts are sanitised, lower-cased and only then is the body cut.
+    Texts are sanitised, lower-cased and only then is the body cut. A long body is usually decided by
+    its start: where the start alone yields more than is kept, the rest need not be normalised. Bodies
+    whose start shrinks below that (long runs of white space) are normalised as a whole.
     """
     def lowered(name):
         return F.lower(sanitize(_column(df, name)))
 
     texts = df.withColumns({
         "_subject": lowered("subject"),
-        "_body": first_chars(lowered("body_text"), BODY_CHARS),
+        "_start": F.lower(sanitize(first_chars(or_empty(_column(df, "body_text")), _START_CHARS))),
         "_sender": lowered("from_email"),
         "_name": lowered("from_name"),
     })
-    return texts.withColumn("_text", F.concat("_subject", F.lit(" "), "_body"))
-
-
-def _weight(text: Column, rule: KeywordRule) -> Column:
-    return F.when(F.contains(text, F.lit(rule.term)), F.lit(rule.weight)).otherwise(F.lit(0))
+    enough = F.length("_start") >= BODY_CHARS + _MARGIN
+    texts = texts.withColumn(
+        "_body", first_chars(F.when(enough, F.col("_start")).otherwise(lowered("body_text")), BODY_CHARS)
+    )
+    return texts.withColumn("_text", F.concat("_subject", F.lit(" "), "_body")).drop("_start")
 
 
-def _total(columns: Sequence[Column]) -> Column:
-    total = F.lit(0)
-    for c in columns:
-        total = total + c
-    return total
+def _score(rules: Sequence[KeywordRule]) -> Column:
+    """Sum of the weights of the rules that hit, as one expression text: cheap to build for many terms."""
+    column = {"text": "_text", "sender": "_sender"}
+    hits = [f"CASE WHEN contains({column[r.field]}, {sql_string(r.term)}) THEN {r.weight:d} ELSE 0 END" for r in rules]
+    return F.expr(" + ".join(hits) or "0")
 
 
 def keyword_scores(df: DataFrame, rules: Sequence[KeywordRule] | None = None) -> DataFrame:
@@ -55,10 +60,8 @@ def keyword_scores(df: DataFrame, rules: Sequence[KeywordRule] | None = None) ->
     """
     rules = default_keyword_rules() if rules is None else rules
     texts = df if "_text" in df.columns else with_rule_texts(df)
-    source = {"text": F.col("_text"), "sender": F.col("_sender")}
     return texts.withColumns({
-        f"score_{category}": _total([_weight(source[r.field], r) for r in rules if r.category == category])
-        for category in SCORED_CATEGORIES
+        f"score_{category}": _score([r for r in rules if r.category == category]) for category in SCORED_CATEGORIES
     })
 
 
