@@ -16,15 +16,25 @@ _REFERENCE = "^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
 _NO_CHARACTER = 0x110000  # stands for every number above the last code point
 
 
-def _named_references() -> Column:
-    # The table is the standard library's list of HTML 5 names, passed as one literal.
-    return F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+# Frequent names, decoded without looking at single references. None of the characters can be part
+# of another reference, so the order does not matter; the ampersand itself is not among them.
+_FREQUENT = [
+    "nbsp", "lt", "gt", "quot", "apos", "copy", "reg", "trade", "middot", "bull", "hellip", "ndash", "mdash",
+    "lsquo", "rsquo", "ldquo", "rdquo", "euro",
+]
+# The standard library's HTML 5 names; some also work without a semicolon.
+_EXACT = {name: text for name, text in html.entities.html5.items() if name.endswith(";")}
+_BARE = {name: text for name, text in html.entities.html5.items() if not name.endswith(";")}
+
+
+def _table(names: dict[str, str]) -> Column:
+    # One text literal; it is turned into a constant map when the query is planned.
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
 def _bare_names() -> str:
-    # Names that also work without a semicolon; the longest one that fits is taken.
-    bare = [name for name in html.entities.html5 if not name.endswith(";")]
-    return "|".join(sorted(bare, key=lambda name: (-len(name), name)))
+    # Of several names the longest one that fits is taken.
+    return "|".join(sorted(_BARE, key=lambda name: (-len(name), name)))
 
 
 def _low_characters() -> Column:
@@ -56,11 +66,11 @@ def _decode_piece(piece: Column) -> Column:
     """Decode the reference a piece starts with; the rest of the piece holds none."""
     reference = F.regexp_extract(piece, _REFERENCE, 0)
     rest = F.substr(piece, F.length(reference) + 1)
-    exact = _named_references().getItem(F.substr(reference, F.lit(2)))
+    exact = _table(_EXACT)[F.substr(reference, F.lit(2))]
     bare = F.regexp_extract(reference, f"^&({_bare_names()})", 1)
     named = F.coalesce(
         exact,
-        F.when(bare != "", F.concat(_named_references().getItem(bare), F.substr(reference, F.length(bare) + 2))),
+        F.when(bare != "", F.concat(_table(_BARE)[bare], F.substr(reference, F.length(bare) + 2))),
         reference,
     )
     decoded = F.when(reference.startswith("&#"), _character(_code_point(reference))).otherwise(named)
@@ -68,9 +78,20 @@ def _decode_piece(piece: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """Decode character references once, left to right. Text without ``&`` is passed through."""
-    pieces = F.split(c, "(?=&)")
-    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, _decode_piece), "")).otherwise(c)
+    """Decode character references once, left to right.
+
+    Texts with only frequent names need plain replacements; the others are taken apart at each ``&``.
+    """
+    text = c
+    for name in _FREQUENT:
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(_EXACT[f"{name};"]))
+    pieces = F.split(text, "(?=&)")
+    others = F.contains(F.replace(text, F.lit("&amp;"), F.lit("")), F.lit("&"))
+    return (
+        F.when(~F.contains(c, F.lit("&")), c)
+        .when(others, F.array_join(F.transform(pieces, _decode_piece), ""))
+        .otherwise(F.replace(text, F.lit("&amp;"), F.lit("&")))
+    )
 
 
 def html_to_text(c: Column) -> Column:

@@ -13,6 +13,7 @@ from ..rules import (
     BASE_CONFIDENCE, CONFIDENCE_STEP, DEFAULT_CONFIDENCE, FEED_BONUS, MAX_CONFIDENCE, MIN_SCORE, OPT_OUT_TERMS,
     PROMOTION_BONUS, SCORED_CATEGORIES, KeywordRule, default_keyword_rules,
 )
+from .stage import computed
 from .terms import substring_hits
 
 # Characters of a body normalised at first, and how far past the cut they must reach.
@@ -56,13 +57,16 @@ def _score(rules: Sequence[KeywordRule]) -> Column:
 def keyword_scores(df: DataFrame, rules: Sequence[KeywordRule] | None = None) -> DataFrame:
     """Add one score per category: each term counts once, as a substring, with its weight.
 
-    The terms are unrolled into one generated expression: no join, no shuffle.
+    The terms are unrolled into one generated expression: no join, no shuffle. ``_opt_out`` tells
+    whether the text holds an opt-out term.
     """
     rules = default_keyword_rules() if rules is None else rules
     texts = df if "_text" in df.columns else with_rule_texts(df)
-    return texts.withColumns({
-        f"score_{category}": _score([r for r in rules if r.category == category]) for category in SCORED_CATEGORIES
-    })
+    opted = F.lit(False)
+    for term in OPT_OUT_TERMS:
+        opted = opted | F.contains(F.col("_text"), F.lit(term))
+    scores = {f"score_{c}": _score([r for r in rules if r.category == c]) for c in SCORED_CATEGORIES}
+    return computed(texts, {**scores, "_opt_out": opted})
 
 
 def keyword_scores_joined(df: DataFrame, rules: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
@@ -97,11 +101,8 @@ def keyword_hits(df: DataFrame, rules: Sequence[KeywordRule] | None = None) -> D
 
 def with_opt_out_bonus(df: DataFrame) -> DataFrame:
     """An opt-out link speaks for a feed if anything else does, else for a promotion."""
-    opted = F.lit(False)
-    for term in OPT_OUT_TERMS:
-        opted = opted | F.contains(F.col("_text"), F.lit(term))
     feed = F.col("score_feed")
-    return df.withColumn("_opt_out", opted).withColumns({
+    return df.withColumns({
         "score_feed": feed + F.when(F.col("_opt_out") & (feed > 0), FEED_BONUS).otherwise(0),
         "score_promotions": F.col("score_promotions") + F.when(F.col("_opt_out") & (feed <= 0), PROMOTION_BONUS).otherwise(0),
     })

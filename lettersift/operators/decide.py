@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..rules import ALL_MAIL, DELETED, LIVE_LABEL, PROTECTING_TOPIC_SCORE, SEEN, TRASH_LABEL, Settings
 from .senders import ALLOWED, DENIED
+from .stage import computed
 
 _DECISION_COLUMNS = ["should_act", "action", "reason", "decision_confidence"]
 
@@ -57,9 +58,8 @@ def decide(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
             F.format_string(" (score: %.2f)", "topic_score")), sure,
         )).otherwise(outcome(True, act, F.concat(
             F.lit("Category "), quoted_category, F.lit(" email met criteria")), F.col("confidence")))
-    return df.withColumn("_decision", decision).withColumns(
-        {c: F.col(f"_decision.{c}") for c in _DECISION_COLUMNS}
-    ).drop("_decision")
+    decided = df.withColumn("_decision", decision)
+    return computed(decided, {c: F.col(f"_decision.{c}") for c in _DECISION_COLUMNS}).drop("_decision")
 
 
 def plan_actions(df: DataFrame, settings: Settings = Settings(), label: str = LIVE_LABEL) -> DataFrame:
@@ -89,9 +89,8 @@ def apply_actions(mailbox: DataFrame, plan: DataFrame, key: tuple[str, ...] = ("
     Trashing adds the trash label and flags; archiving moves to the all-mail folder. Rows that are only
     labelled or not planned keep folder and flags.
     """
-    steps = plan.where("apply").select(
-        *key, F.col("planned_action").alias("_action"), F.col("planned_label").alias("_label")
-    )
+    applied = plan.where("apply")
+    steps = applied.select(*key, F.col("planned_action").alias("_action"), F.col("planned_label").alias("_label"))
     joined = mailbox.join(steps, list(key), "left")
     action, flags, labels = F.col("_action"), F.col("flags"), F.col("labels")
     return joined.withColumns({

@@ -82,7 +82,7 @@ def wildcard_matches(senders: DataFrame, rules: DataFrame) -> DataFrame:
     candidates = substring_candidates(
         senders, ["sender"], "sender", anchored.where(F.col("_piece") != ""), "_piece"
     ).select("list", "sender", "pattern")
-    checked = candidates.where(F.col("sender").like(F.replace(like, F.lit("*"), F.lit("%"))))
+    checked = candidates.where(F.like("sender", F.replace(like, F.lit("*"), F.lit("%"))))
     # At most one row per list: read as a scalar, so that senders are not joined on a constant.
     everyone = patterns.where(F.translate("pattern", "*", "") == "")
     for name in ("allow", "deny"):

@@ -12,6 +12,7 @@ from ..functions.text import has_word, or_empty, substring_count
 from ..rules import (
     KEYWORD_ANYWHERE, KEYWORD_SUBJECT, PHRASE_BODY, PHRASE_SUBJECT, TOPIC_SCALE, Topic, build_topics,
 )
+from .stage import computed
 from .terms import substring_candidates, token_candidates
 
 
@@ -68,7 +69,7 @@ def match_topics(df: DataFrame, topics: Sequence[str]) -> DataFrame:
         scored = scored.withColumns(hits)
     scores = {f"_s{i}": _topic_score(i, topic) for i, topic in enumerate(built)}
     if scores:
-        scored = scored.withColumns(scores)
+        scored = computed(scored, scores)
     matched = [F.col(f"_s{i}") > 0 for i in range(len(built))]
     details = [
         F.struct(

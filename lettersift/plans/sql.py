@@ -149,7 +149,7 @@ def topics(source: str = "c", out: str = "t") -> str:
 {out}_l AS (SELECT *, lower(subject) AS t_subject, lower(body_text) AS t_body FROM {source}),
 {out}_a AS (SELECT *, t_subject || ' ' || t_body AS t_all, regexp_extract_all(t_subject || ' ' || t_body, '{WORD}+') AS t_words FROM {out}_l),
 {out}_s AS (SELECT *, {scores} FROM {out}_a),
-{out} AS (SELECT *, list_filter([{names}], x -> x IS NOT NULL) AS topics,
+{out} AS (SELECT *, list_filter([{names}], lambda x: x IS NOT NULL) AS topics,
     least(({total}) / 10.0::DOUBLE, 1.0::DOUBLE) AS topic_score FROM {out}_s)"""
 
 
@@ -183,7 +183,7 @@ e AS (
     CASE ruling WHEN 'allowed' THEN 'Sender is whitelisted' WHEN 'denied' THEN 'Sender is blacklisted'
       WHEN 'kept' THEN 'Only promotional emails are targeted, "' || category || '" emails are preserved'
       WHEN 'topic' THEN 'Promotional but matches topics: [' ||
-        array_to_string(list_transform(topics, x -> '''' || x || ''''), ', ') || '] (score: ' || printf('%.2f', topic_score) || ')'
+        array_to_string(list_transform(topics, lambda x: '''' || x || ''''), ', ') || '] (score: ' || printf('%.2f', topic_score) || ')'
       ELSE 'Category "' || category || '" email met criteria' END AS reason,
     CASE WHEN ruling = 'act' THEN confidence ELSE 1.0::DOUBLE END AS decision_confidence FROM d),
 p AS (

@@ -13,8 +13,11 @@ from .registry import query
 
 def processed_earlier(spark, sf):
     """The older half of the messages by arrival number, as an earlier run left them."""
-    middle = corpus.table(spark, sf, "documents").select(F.max("doc_id") / 2).scalar()
-    return corpus.headers(spark, sf).where(F.col("uid") < middle)
+    return corpus.headers(spark, sf).where(F.col("uid") < _middle(spark, sf))
+
+
+def _middle(spark, sf):
+    return corpus.table(spark, sf, "documents").select(F.max("doc_id") / 2).scalar()
 
 
 def earlier_state(spark, sf):
@@ -39,25 +42,31 @@ def recent_hashes(spark, sf):
     return state.recent_hashes(rows).select("mailbox", "hash", "seq")
 
 
-_ALL_DONE = sql.STATE.replace("uid < (SELECT max(doc_id) FROM documents) / 2 AND", "")
+_SECOND_RUN = """,
+done2 AS (SELECT * FROM h WHERE uid >= (SELECT max(doc_id) FROM documents) / 2 AND received_at IS NOT NULL
+  AND (mailbox, hash) NOT IN (SELECT mailbox, hash FROM seen)),
+marks2 AS (
+  SELECT mailbox, hash FROM (
+    SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY received_at DESC, seq) AS r
+    FROM (SELECT mailbox, hash, received_at, -1 AS seq FROM marks UNION ALL SELECT mailbox, hash, received_at, uid FROM done2)) WHERE r = 1),
+recent2 AS (
+  SELECT mailbox, hash FROM (
+    SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY seq DESC) AS r
+    FROM (SELECT mailbox, hash, min(seq) AS seq FROM (
+      SELECT mailbox, hash, seq FROM recent UNION ALL SELECT mailbox, hash, uid FROM done2) GROUP BY ALL)) WHERE r <= 200)"""
 
 
-@query(f"""{sql.HEADERS}{_ALL_DONE} SELECT 'watermark' AS kind, mailbox, hash FROM marks
-    UNION ALL SELECT 'recent', mailbox, hash FROM recent""")
+@query(f"""{sql.HEADERS}{sql.STATE}{_SECOND_RUN} SELECT 'watermark' AS kind, mailbox, hash FROM marks2
+    UNION ALL SELECT 'recent', mailbox, hash FROM recent2""")
 def advance_state(spark, sf):
-    """Two runs in a row: the older half of the messages, then all that are left."""
+    """A second run over all newer messages that the first one did not see."""
     marks, recent = earlier_state(spark, sf)
-    rest = ingest.new_messages(corpus.headers(spark, sf), *_cut(recent, marks))
-    middle = corpus.table(spark, sf, "documents").select(F.max("doc_id") / 2).scalar()
-    marks, recent = state.advance_state(rest.where(F.col("uid") >= middle), 1, marks, recent)
+    newer = corpus.headers(spark, sf).where(F.col("uid") >= _middle(spark, sf))
+    marks, recent = state.advance_state(ingest.new_messages(newer, recent, marks), 1, marks, recent)
     return marks.select(F.lit("watermark").alias("kind"), "mailbox", "hash").union(
         recent.select(F.lit("recent"), "mailbox", "hash"))
 
 
-def _cut(recent, marks):
-    return recent.limit(0), marks.limit(0)
-
-
 @query(f"{_MARKS_SQL}")
 def read_state(spark, sf):
     """State written as a versioned table and read back."""

@@ -44,8 +44,7 @@ def message_hash(spark, sf):
 def decode_header(spark, sf):
     """Subjects written as encoded words and decoded again."""
     rows = corpus.headers(spark, sf)
-    coded = F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode("subject", "UTF-8")), F.lit("?="))
-    return rows.select("uid", H.decode_header(coded).alias("subject"))
+    return rows.select("uid", H.decode_header(corpus.encoded_word(F.col("subject"))).alias("subject"))
 
 
 @query("SELECT page_id, " + sql.html_text("html") + " AS text FROM pages")
@@ -124,9 +123,9 @@ def parse_model_input(spark, sf):
 
 
 _SOFTMAX_SQL = """
-WITH l AS (SELECT vec_id, label, list_transform(embedding[1:4], x -> x::DOUBLE) AS v FROM embeddings),
-e AS (SELECT *, list_transform(v, x -> exp(x - list_max(v))) AS ex FROM l),
-p AS (SELECT *, list_transform(ex, x -> x / list_sum(ex)) AS p FROM e)"""
+WITH l AS (SELECT vec_id, label, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM embeddings),
+e AS (SELECT *, list_transform(v, lambda x: exp(x - list_max(v))) AS ex FROM l),
+p AS (SELECT *, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM e)"""
 
 
 @query(_SOFTMAX_SQL + "SELECT vec_id, " + ", ".join(f"round(p[{i + 1}], 6) AS p_{c}" for i, c in enumerate(CATEGORIES)) + " FROM p")
@@ -150,7 +149,7 @@ def label_index(spark, sf):
 
 
 @query(f"""{sql.MESSAGES}, i AS (SELECT uid, regexp_extract_all(lower({_INPUT_SQL}), '{sql.WORD}+')[1:382] AS w FROM m),
-    n AS (SELECT uid, list_concat([101::BIGINT], list_transform(w, t -> ('0x' || substr(md5(t), 1, 8))::BIGINT % 29522 + 1000), [102::BIGINT]) AS ids FROM i)
+    n AS (SELECT uid, list_concat([101::BIGINT], list_transform(w, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 29522 + 1000), [102::BIGINT]) AS ids FROM i)
     SELECT uid, array_to_string(list_concat(ids, list_resize([]::BIGINT[], 384 - len(ids), 0)), ',') AS ids, len(ids) AS tokens FROM n""")
 def token_window(spark, sf):
     rows = _input_rows(spark, sf).select("uid", model.token_ids(F.col("input_text")).alias("ids"))

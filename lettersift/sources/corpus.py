@@ -121,19 +121,21 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return message_rows(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pages"))
 
 
+def encoded_word(c: Column) -> Column:
+    """A header text as one encoded word."""
+    return F.concat(F.lit("=?utf-8?B?"), F.translate(F.base64(F.encode(c, "UTF-8")), "\r\n", ""), F.lit("?="))
+
+
 def raw_messages(rows: DataFrame) -> DataFrame:
     """Messages as RFC 822 bytes: plain text, base64, two alternatives or HTML only, by uid.
 
     A few have no bytes at all, as when fetching failed.
     """
-    def encoded(c):
-        return F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(c, "UTF-8")), F.lit("?="))
-
     def b64(c):
         return F.base64(F.encode(c, "UTF-8"))
 
     head = F.concat(
-        F.lit("Message-ID: "), F.col("message_id"), F.lit("\r\nSubject: "), encoded(F.col("subject")),
+        F.lit("Message-ID: "), F.col("message_id"), F.lit("\r\nSubject: "), encoded_word(F.col("subject")),
         F.lit("\r\nFrom: "), F.col("from_raw"), F.lit("\r\nTo: "), F.col("to_raw"),
         F.lit("\r\nDate: "), F.col("date"), F.lit("\r\nMIME-Version: 1.0\r\n"),
     )
