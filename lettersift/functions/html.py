@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,12 +17,8 @@ _REFERENCE = "^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
 _NO_CHARACTER = 0x110000  # stands for every number above the last code point
 
 
-# Frequent names, decoded without looking at single references. None of the characters can be part
-# of another reference, so the order does not matter; the ampersand itself is not among them.
-_FREQUENT = [
-    "nbsp", "lt", "gt", "quot", "apos", "copy", "reg", "trade", "middot", "bull", "hellip", "ndash", "mdash",
-    "lsquo", "rsquo", "ldquo", "rdquo", "euro",
-]
+# Frequent names, looked up before the full table.
+_FREQUENT = ["&amp;", "&nbsp;", "&lt;", "&gt;", "&quot;", "&copy;", "&middot;"]
 # The standard library's HTML 5 names; some also work without a semicolon.
 _EXACT = {name: text for name, text in html.entities.html5.items() if name.endswith(";")}
 _BARE = {name: text for name, text in html.entities.html5.items() if not name.endswith(";")}
@@ -68,7 +65,11 @@ def _decode_piece(piece: Column) -> Column:
     rest = F.substr(piece, F.length(reference) + 1)
     exact = _table(_EXACT)[F.substr(reference, F.lit(2))]
     bare = F.regexp_extract(reference, f"^&({_bare_names()})", 1)
+    frequent = F.lit(None).cast("string")
+    for name in _FREQUENT:
+        frequent = F.when(reference == name, F.lit(_EXACT[name[1:]])).otherwise(frequent)
     named = F.coalesce(
+        frequent,
         exact,
         F.when(bare != "", F.concat(_table(_BARE)[bare], F.substr(reference, F.length(bare) + 2))),
         reference,
@@ -77,21 +78,18 @@ def _decode_piece(piece: Column) -> Column:
     return F.when(reference == "", piece).otherwise(F.concat(decoded, rest))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times but computes it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescape(c: Column) -> Column:
-    """Decode character references once, left to right.
+    """Decode character references once, left to right, taking the text apart at each ``&``."""
+    def decoded(text):
+        pieces = F.transform(F.split(text, "(?=&)"), _decode_piece)
+        return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
-    Texts with only frequent names need plain replacements; the others are taken apart at each ``&``.
-    """
-    text = c
-    for name in _FREQUENT:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(_EXACT[f"{name};"]))
-    pieces = F.split(text, "(?=&)")
-    others = F.contains(F.replace(text, F.lit("&amp;"), F.lit("")), F.lit("&"))
-    return (
-        F.when(~F.contains(c, F.lit("&")), c)
-        .when(others, F.array_join(F.transform(pieces, _decode_piece), ""))
-        .otherwise(F.replace(text, F.lit("&amp;"), F.lit("&")))
-    )
+    return _bind(c, decoded)
 
 
 def html_to_text(c: Column) -> Column:

@@ -49,7 +49,7 @@ def decode_header(spark, sf):
 
 @query("SELECT page_id, " + sql.html_text("html") + " AS text FROM pages")
 def html_to_text(spark, sf):
-    return corpus.table(spark, sf, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
+    return corpus.spread(corpus.table(spark, sf, "pages")).select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
 @query(f"{sql.MESSAGES} SELECT uid, md5(body_text) AS body_md5, length(body_text) AS chars FROM m")
