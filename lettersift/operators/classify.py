@@ -75,7 +75,7 @@ def keyword_scores_joined(df: DataFrame, rules: DataFrame, key: Sequence[str] =
     hits = None
     for field, column in (("text", "_text"), ("sender", "_sender")):
         of_field = rules.where(F.col("field") == field).select("category", "term", "weight")
-        found = substring_hits(texts, key, column, of_field, "term")
+        found = substring_hits(texts.select(*key, column), key, column, of_field, "term").select(*key, "category", "weight")
         hits = found if hits is None else hits.unionByName(found)
     totals = hits.groupBy(*key).agg(*[
         F.sum(F.when(F.col("category") == category, F.col("weight")).otherwise(0)).cast("int").alias(f"score_{category}")

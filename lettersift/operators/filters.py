@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.headers import whole_days
 from ..functions.text import or_empty, strip
 from ..rules import MAX_DAYS_LATE, SEEN, SKIPPED_FOLDER_PARTS
+from .joins import small
 
 
 def _midnight(day: str) -> Column:
@@ -60,7 +61,7 @@ def is_late(received_at: Column, watermark: Column) -> Column:
 
 def drop_late(df: DataFrame, watermark: DataFrame) -> DataFrame:
     """Leave out messages far behind the watermark of their mailbox."""
-    marks = watermark.select("mailbox", F.col("received_at").alias("_mark"))
+    marks = small(watermark.select("mailbox", F.col("received_at").alias("_mark")))
     return df.join(marks, "mailbox", "left").where(~is_late(F.col("received_at"), F.col("_mark"))).drop("_mark")
 
 

@@ -9,6 +9,7 @@ from ..functions.headers import message_hash, whole_days
 from ..functions.text import or_empty
 from ..rules import INBOX
 from .filters import drop_late, is_late, unread
+from .joins import small
 from .scan import fetch_bodies, headers, newest
 
 
@@ -26,7 +27,7 @@ def new_messages(df: DataFrame, recent: DataFrame, marks: DataFrame, null_id: st
     done = remembered(recent, marks)
     if null_id == "keep":
         done = done.where(F.col("hash") != F.md5(F.lit("")))
-    return df.join(done, ["mailbox", "hash"], "left_anti")
+    return df.join(small(done), ["mailbox", "hash"], "left_anti")
 
 
 def look_back(watermark_at: Column, as_of: Column, default: int = 7) -> Column:
@@ -41,7 +42,7 @@ def candidates(header_rows: DataFrame, marks: DataFrame, as_of: Column, limit: i
     if unread_only:
         found = unread(found)
     starts = marks.select("mailbox", look_back(F.col("received_at"), as_of, days).alias("_days"))
-    found = found.join(starts, "mailbox", "left")
+    found = found.join(small(starts), "mailbox", "left")
     # A look-back of 0 days (a watermark in the future) means no limit.
     span = F.coalesce("_days", F.lit(days))
     recent = F.col("received_at") >= F.date_sub(F.to_date(as_of), span).cast("timestamp")
@@ -65,7 +66,7 @@ def ingest_counters(header_rows: DataFrame, recent: DataFrame, marks: DataFrame,
     found = candidates(header_rows, marks, as_of, **criteria)
     done = remembered(recent, marks).withColumn("_done", F.lit(True))
     dates = marks.select("mailbox", F.col("received_at").alias("_mark"))
-    flagged = found.join(done, ["mailbox", "hash"], "left").join(dates, "mailbox", "left").withColumns({
+    flagged = found.join(small(done), ["mailbox", "hash"], "left").join(small(dates), "mailbox", "left").withColumns({
         "_done": F.coalesce("_done", F.lit(False)),
         "_late": is_late(F.col("received_at"), F.col("_mark")),
     })

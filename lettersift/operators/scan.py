@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..rules import INBOX
 from ..schemas import HEADER_COLUMNS
 from .filters import select_messages
+from .joins import small
 
 # Spark limits groups before its shuffle only for limits up to this size
 # (spark.sql.optimizer.windowGroupLimitThreshold).
@@ -50,9 +51,12 @@ def scan_headers(df: DataFrame, folder: str = INBOX, **criteria) -> DataFrame:
 
 
 def fetch_bodies(survivors: DataFrame, bodies: DataFrame, key: Sequence[str] = ("mailbox", "uid")) -> DataFrame:
-    """Join the bodies to headers that survived filtering."""
+    """Join the bodies to headers that survived filtering.
+
+    Few survivors are broadcast, so that the bodies are read where they are and not shuffled.
+    """
     wide = [c for c in bodies.columns if c in key or c not in survivors.columns]
-    return survivors.join(bodies.select(*wide), list(key))
+    return small(survivors).join(bodies.select(*wide), list(key))
 
 
 def list_folders(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .joins import fits, small
 
 _GRAM = 3
 
@@ -23,21 +24,34 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*sizes))
 
 
+def _keyed(terms: DataFrame, term: str) -> DataFrame:
+    return terms.withColumn("_gram", F.substring(term, 1, _GRAM))
+
+
 def substring_candidates(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
     """Pairs of key and term that may match; each pair once. ``terms`` must not hold empty terms."""
-    keyed = terms.withColumn("_gram", F.substring(term, 1, _GRAM))
     grams = texts.select(*key, F.explode(_grams(F.col(text))).alias("_gram"))
-    return grams.join(keyed, "_gram").drop("_gram")
+    return grams.join(small(_keyed(terms, term)), "_gram").drop("_gram")
+
+
+def _candidates(texts: DataFrame, key: Sequence[str], pieces: Column, piece: str, terms: DataFrame) -> DataFrame:
+    """Rows of ``texts`` joined with the terms that share a piece.
+
+    A small term table is broadcast and meets the texts where they are. With a large one only keys and
+    pieces are shuffled, and the texts are joined to the candidates afterwards.
+    """
+    if fits(terms):
+        return texts.withColumn(piece, F.explode(pieces)).join(F.broadcast(terms), piece)
+    found = texts.select(*key, F.explode(pieces).alias(piece)).join(terms, piece)
+    return found.join(texts, list(key))
 
 
-def token_candidates(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
-    """Pairs of key and term where the term is a token of the text."""
-    tokens = texts.select(*key, F.explode(words(F.col(text))).alias(term))
-    return tokens.join(terms, term)
+def token_hits(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
+    """Rows of ``texts`` with each term that is a token of the text."""
+    return _candidates(texts, key, words(F.col(text)), term, terms)
 
 
 def substring_hits(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
-    """All pairs where the text contains the term."""
-    candidates = substring_candidates(texts, key, text, terms, term)
-    checked = candidates.join(texts.select(*key, F.col(text).alias("_text")), list(key))
-    return checked.where(F.contains(F.col("_text"), F.col(term))).drop("_text")
+    """Rows of ``texts`` with each term that the text contains."""
+    found = _candidates(texts, key, _grams(F.col(text)), "_gram", _keyed(terms, term))
+    return found.where(F.contains(F.col(text), F.col(term))).drop("_gram")

@@ -13,7 +13,7 @@ from ..rules import (
     KEYWORD_ANYWHERE, KEYWORD_SUBJECT, PHRASE_BODY, PHRASE_SUBJECT, TOPIC_SCALE, Topic, build_topics,
 )
 from .stage import computed
-from .terms import substring_candidates, token_candidates
+from .terms import substring_hits, token_hits
 
 
 def with_topic_texts(df: DataFrame) -> DataFrame:
@@ -104,23 +104,18 @@ def keyword_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = ("uid",))
 
     ``terms`` is a table ``(topic, kind, term)`` of any size, joined on the token.
     """
-    texts = with_topic_texts(df)
+    texts = with_topic_texts(df).select(*key, "_subject", "_all")
     keywords = terms.where(F.col("kind") == "keyword").select("topic", "term")
-    found = token_candidates(texts, key, "_all", keywords, "term")
-    counted = found.join(texts.select(*key, "_subject", "_all"), list(key))
-    return counted.select(*key, "topic", "term", _keyword_score(F.col("term")).alias("score"))
+    found = token_hits(texts, key, "_all", keywords, "term")
+    return found.select(*key, "topic", "term", _keyword_score(F.col("term")).alias("score"))
 
 
 def phrase_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
     """Rows ``key, topic, term, score`` for topic phrases contained in a message."""
-    texts = with_topic_texts(df)
+    texts = with_topic_texts(df).select(*key, "_subject", "_body", "_all")
     phrases = terms.where(F.col("kind") == "phrase").select("topic", "term")
-    found = substring_candidates(texts, key, "_all", phrases, "term")
-    counted = found.join(texts.select(*key, "_subject", "_body", "_all"), list(key))
-    return (
-        counted.where(F.contains(F.col("_all"), F.col("term")))
-        .select(*key, "topic", "term", _phrase_score(F.col("term")).alias("score"))
-    )
+    found = substring_hits(texts, key, "_all", phrases, "term")
+    return found.select(*key, "topic", "term", _phrase_score(F.col("term")).alias("score"))
 
 
 def topic_scores(df: DataFrame, terms: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:

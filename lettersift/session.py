@@ -14,7 +14,7 @@ TUNING = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Plans with many rule terms are long; keep their descriptions from filling the driver.
-    "spark.sql.maxPlanStringLength": "50000",
+    "spark.sql.maxPlanStringLength": "300000",
 }
 
 

@@ -44,12 +44,12 @@ def as_of() -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that comes in fewer files than there are cores.
+    """Use all cores in a local session, where each table is a single file read by one task.
 
-    A table of many files is left as it is: no shuffle.
+    On a cluster tables come in many files and are left as they are: no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    context = df.sparkSession.sparkContext
+    return df.repartition(context.defaultParallelism) if context.master.startswith("local") else df
 
 
 def _variant(part: int) -> Column:

@@ -17,6 +17,7 @@ SLOW = {"evaluate_classifier"}
 
 
 def plan(df):
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", "10000000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 
