@@ -99,6 +99,11 @@ def parse_date(c: Column) -> Column:
     )
 
 
+def as_utc(c: Column) -> Column:
+    """Timestamps without a zone are taken as UTC (the session's time zone); others are kept."""
+    return c.cast("timestamp")
+
+
 def whole_days(later: Column, earlier: Column) -> Column:
     """Whole days from ``earlier`` to ``later``, rounded down (negative if reversed)."""
     micros = F.unix_micros(later) - F.unix_micros(earlier)

@@ -59,28 +59,35 @@ def _character(code: Column) -> Column:
     )
 
 
-def _decode_piece(piece: Column) -> Column:
-    """Decode the reference a piece starts with; the rest of the piece holds none."""
-    reference = F.regexp_extract(piece, _REFERENCE, 0)
-    rest = F.substr(piece, F.length(reference) + 1)
-    exact = _table(_EXACT)[F.substr(reference, F.lit(2))]
-    bare = F.regexp_extract(reference, f"^&({_bare_names()})", 1)
-    frequent = F.lit(None).cast("string")
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times but computes it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _decode_reference(reference: Column) -> Column:
+    """Text of one reference: a number, a name, or a name without semicolon and what follows it."""
+    named = F.when(reference.startswith("&#"), _bind(_code_point(reference), _character))
     for name in _FREQUENT:
-        frequent = F.when(reference == name, F.lit(_EXACT[name[1:]])).otherwise(frequent)
-    named = F.coalesce(
-        frequent,
-        exact,
-        F.when(bare != "", F.concat(_table(_BARE)[bare], F.substr(reference, F.length(bare) + 2))),
-        reference,
+        named = named.when(reference == name, F.lit(_EXACT[name[1:]]))
+
+    def longest(bare):
+        rest = F.substr(reference, F.length(bare) + 2)
+        return F.when(bare != "", F.concat(_table(_BARE)[bare], rest)).otherwise(reference)
+
+    other = F.coalesce(
+        _table(_EXACT)[F.substr(reference, F.lit(2))],
+        _bind(F.regexp_extract(reference, f"^&({_bare_names()})", 1), longest),
     )
-    decoded = F.when(reference.startswith("&#"), _character(_code_point(reference))).otherwise(named)
-    return F.when(reference == "", piece).otherwise(F.concat(decoded, rest))
+    return named.otherwise(other)
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """An expression that uses a value several times but computes it once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _decode_piece(piece: Column) -> Column:
+    """Decode the reference a piece starts with; the rest of the piece holds none."""
+    def decoded(reference):
+        rest = F.substr(piece, F.length(reference) + 1)
+        return F.when(reference == "", piece).otherwise(F.concat(_decode_reference(reference), rest))
+
+    return F.when(piece.startswith("&"), _bind(F.regexp_extract(piece, _REFERENCE, 0), decoded)).otherwise(piece)
 
 
 def unescape(c: Column) -> Column:

@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.text import first_chars, or_empty, sanitize
 
 
+ATTACHMENTS = "array<struct<filename:string,size:bigint,content_type:string,hash:string>>"
+
+
+def message_records(df: DataFrame, saved_at: Column, state: str = "new") -> DataFrame:
+    """Stored form of messages; fields a message lacks take their defaults, and a missing key its id."""
+    def given(name, kind, default):
+        column = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+        return F.coalesce(column, default.cast(kind)).alias(name)
+
+    texts = ["message_id", "subject", "from_raw", "from_email", "from_name", "to_raw", "date", "body_text", "body_html"]
+    return df.select(
+        "id", given("hash", "string", F.col("id")), *[given(name, "string", F.lit("")) for name in texts],
+        given("size", "bigint", F.lit(0)), given("has_attachments", "boolean", F.lit(False)),
+        given("attachment_count", "int", F.lit(0)), given("attachments", ATTACHMENTS, F.array()),
+        F.lit(state).alias("processing_state"), saved_at.alias("saved_at"),
+    )
+
+
 def classified_log_rows(df: DataFrame, saved_at: Column, state: str = "classified") -> DataFrame:
     """Log columns of classified messages. The body is cut to 5000 characters before it is sanitised."""
     return df.select(

@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.headers import as_utc
 from ..functions.model import CATEGORIES
 from ..operators import classify, decide as deciding, history, senders, store, topics, triage as judging
 from ..sources import corpus
@@ -182,7 +183,7 @@ _EVENT_CATEGORY = "CASE event_type WHEN 'purchase' THEN 'transactions' WHEN 'vie
     {", ".join(f"count(*) FILTER ({_EVENT_CATEGORY} = '{c}') AS {c}" for c in CATEGORIES)} FROM events GROUP BY 1""")
 def run_stats_windowed(spark, sf):
     """Events as classified messages; an error is one that failed and has no category."""
-    judged = corpus.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.expr(_EVENT_CATEGORY).alias("category"))
+    judged = corpus.table(spark, sf, "events").select(as_utc(F.col("ts")).alias("ts"), F.expr(_EVENT_CATEGORY).alias("category"))
     stats = judging.run_stats_windowed(judged, "ts")
     return stats.select(F.unix_timestamp("timestamp").alias("started"), "total_emails", *CATEGORIES)
 

@@ -18,7 +18,7 @@ _FOLDER_SQL = f"""
 @query(f"""{sql.MESSAGES} SELECT uid, subject, from_email, md5(body_text) AS body_md5 FROM m
     WHERE {_FOLDER_SQL} ORDER BY uid DESC LIMIT 100""")
 def scan_folder(spark, sf):
-    found = scan.scan_folder(corpus.messages(spark, sf), unread_only=True, start="2024-01-03", end="2024-02-20")
+    found = scan.scan_folder(corpus.messages(spark, sf, spread_rows=False), unread_only=True, start="2024-01-03", end="2024-02-20")
     body = F.md5(_body())
     return found.select("uid", "subject", "from_email", body.alias("body_md5"))
 
@@ -42,7 +42,7 @@ def late_materialize(spark, sf):
     marks, recent = earlier_state(spark, sf)
     fresh = ingest.new_messages(filters.unread(corpus.headers(spark, sf)), recent, marks)
     key = fresh.select("mailbox", "uid")
-    return scan.fetch_bodies(key, corpus.messages(spark, sf)).select("uid", "subject", F.md5(_body()).alias("body_md5"))
+    return scan.fetch_bodies(key, corpus.messages(spark, sf, spread_rows=False)).select("uid", "subject", F.md5(_body()).alias("body_md5"))
 
 
 @query(f"{sql.HEADERS} SELECT DISTINCT source_folder FROM h")
@@ -92,7 +92,7 @@ _SEARCH = {"subject": "SALE", "sender": "Shop", "from_date": "2024-01-04"}
 @query(f"""{sql.MESSAGES} SELECT uid, source_folder, subject, date, replace(replace(substr(raw_text, 1, 200), chr(13), ''), chr(10), ' ') AS preview
     FROM (SELECT *, row_number() OVER (PARTITION BY mailbox, source_folder ORDER BY uid DESC) AS r FROM m WHERE {_SEARCH_SQL}) WHERE r <= 10""")
 def search_messages(spark, sf):
-    found = search.search_messages(corpus.messages(spark, sf), with_body=True, **_SEARCH)
+    found = search.search_messages(corpus.messages(spark, sf, spread_rows=False), with_body=True, **_SEARCH)
     return found.select("uid", "source_folder", "subject", "date", "preview")
 
 

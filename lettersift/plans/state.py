@@ -101,7 +101,7 @@ def ingest_new(spark, sf):
     from ..operators.triage import with_fallback_body
 
     marks, recent = earlier_state(spark, sf)
-    fresh = ingest.ingest_new(corpus.headers(spark, sf), corpus.messages(spark, sf), recent, marks, corpus.as_of())
+    fresh = ingest.ingest_new(corpus.headers(spark, sf), corpus.messages(spark, sf, spread_rows=False), recent, marks, corpus.as_of())
     return with_fallback_body(fresh).select("uid", "mailbox", "subject", F.md5("body_text").alias("body_md5"))
 
 

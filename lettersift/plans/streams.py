@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..sources import corpus
-from ..streaming import pipeline
+from ..streaming import jobs
 from . import sql
 from .registry import query
 
@@ -20,7 +20,7 @@ def message_stream(spark, sf):
 def stream_triage(spark, sf):
     """Triage as a stream that starts without state."""
     out = shared_dir(spark, "triage")
-    run = pipeline.triage_stream(message_stream(spark, sf), corpus.SETTINGS, f"{out}/tables", f"{out}/checkpoint")
+    run = jobs.triage_stream(message_stream(spark, sf), corpus.SETTINGS, f"{out}/tables", f"{out}/checkpoint")
     run.awaitTermination()
     return spark.read.parquet(f"{out}/tables/messages").select(
         "uid", "category", "confidence", F.array_join("topics", ",").alias("topics"), "sender_status", "planned_action")
@@ -30,7 +30,7 @@ def stream_triage(spark, sf):
 def stream_dedup(spark, sf):
     """The first message of each key, removed from repeats by a stream."""
     out = shared_dir(spark, "dedup")
-    rows = pipeline.dedup_stream(message_stream(spark, sf).drop("body_text", "body_html"))
+    rows = jobs.dedup_stream(message_stream(spark, sf).drop("body_text", "body_html"))
     run = (
         rows.select("mailbox", "hash", "uid").writeStream.format("parquet").outputMode("append")
         .option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")

@@ -117,8 +117,10 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header_rows(table(spark, sf_dir, "documents"))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return message_rows(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pages"))
+def messages(spark: SparkSession, sf_dir: str, spread_rows: bool = True) -> DataFrame:
+    """All messages. ``spread_rows=False`` suits queries that do little work per message."""
+    documents = table(spark, sf_dir, "documents")
+    return message_rows(spread(documents) if spread_rows else documents, table(spark, sf_dir, "pages"))
 
 
 def encoded_word(c: Column) -> Column:

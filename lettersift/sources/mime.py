@@ -10,7 +10,7 @@ from email import policy
 from email.parser import BytesHeaderParser, BytesParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,11 +49,54 @@ def read_parts(raw: bytes | None) -> tuple:
         return (None, None, None, None, None, "", "", str(error) or type(error).__name__)
 
 
+_HEADER_DEFAULTS = {"Message-ID": "", "Subject": "No Subject", "From": "Unknown", "To": "", "Date": ""}
+_HEADERS = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("message_id", "subject", "from_raw", "to_raw", "date")]
+    + [T.StructField("size", T.LongType())]
+)
+
+
+def read_header_fields(raw: bytes | None) -> tuple:
+    """Header fields only, with defaults for missing ones; the size is the announced one or 0."""
+    try:
+        head = _headers.parsebytes(raw)
+        fields = [head.get(name, default) for name, default in _HEADER_DEFAULTS.items()]
+        decoded = [decode_header_text(f) for f in fields[1:4]]
+        return (str(fields[0]), *decoded, str(fields[4]), int(head.get("Content-Length", 0)))
+    except Exception:  # a mail whose header cannot be read is left out by the caller
+        return (None,) * 6
+
+
+@F.pandas_udf(_HEADERS)
+def _read_header_fields(raw: pd.Series) -> pd.DataFrame:
+    rows = pd.DataFrame([read_header_fields(r) for r in raw], columns=_HEADERS.names, dtype="object")
+    return rows.astype({"size": "Int64"})
+
+
 @F.pandas_udf(_PARTS)
 def _read_parts(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_parts(r) for r in raw], columns=_FIELDS, dtype="object")
 
 
+def parse_headers(raw: DataFrame) -> DataFrame:
+    """Header rows of raw mails; bodies are not parsed. Mails with unreadable headers are left out."""
+    rows = raw.withColumn("_fields", _read_header_fields("raw"))
+    rows = rows.select(*[c for c in raw.columns if c != "raw"], "_fields.*").where(F.col("message_id").isNotNull())
+    return rows.withColumns({"received_at": parse_date(F.col("date")), "hash": message_hash(F.col("message_id"))})
+
+
+def read_mail_files(spark: SparkSession, path: str, mailbox: str, pattern: str = "*.eml") -> DataFrame:
+    """Raw mails from files, one mail per file; the folder is the name of the directory."""
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    )
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("id"), F.xxhash64("path").alias("uid"), F.lit(mailbox).alias("mailbox"),
+        F.url_decode(F.element_at(F.split("path", "/"), -2)).alias("source_folder"),
+        F.array().cast("array<string>").alias("flags"), F.col("content").alias("raw"),
+    )
+
+
 def parse_all(raw: DataFrame, as_of: Column) -> DataFrame:
     """Message rows for all raw mails; those that failed carry a ``parse_error`` and no key."""
     parts = raw.withColumn("_parts", _read_parts("raw"))

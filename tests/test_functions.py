@@ -130,6 +130,12 @@ def test_age_rounds_down(spark):
     assert tuple(row) == (2, -3)
 
 
+def test_times_without_zone_are_utc(spark):
+    row = spark.sql("SELECT timestamp_ntz'2023-11-20 10:00:00' AS a, timestamp'2023-11-20 10:00:00+05:30' AS b, cast(null AS timestamp_ntz) AS c").select(
+        *[F.date_format(headers.as_utc(F.col(x)), "HH:mm") for x in "abc"]).first()
+    assert tuple(row) == ("10:00", "04:30", None)
+
+
 def test_decode_header(values):
     inputs = ["=?utf-8?B?R3LDvMOfZQ==?=", "=?iso-8859-1?Q?caf=E9?= now", "plain ", "=?no-such?B?YQ==?=", None]
     assert values(headers.decode_header, inputs) == ["Grüße", "café now", "plain", "a", ""]

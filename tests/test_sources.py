@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lettersift import rules as R
 from lettersift.sources import corpus, files, mime
-from lettersift.streaming import pipeline
+from lettersift.streaming import jobs
 
 PLAIN = (b"Message-ID: <test123@example.com>\r\nFrom: John Doe <john.doe@example.com>\r\nTo: me@x.y\r\n"
          b"Subject: =?utf-8?B?R3LDvMOfZQ==?=\r\nDate: Mon, 20 Nov 2023 10:00:00 +0000\r\n"
@@ -31,6 +31,19 @@ def test_parse_mails(spark):
     assert (good.count(), bad.count()) == (3, 1)
 
 
+def test_header_rows_and_mail_files(spark, tmp_path):
+    (tmp_path / "INBOX").mkdir()
+    (tmp_path / "INBOX" / "1.eml").write_bytes(PLAIN.replace(b"To: me@x.y", b"Content-Length: 77"))
+    (tmp_path / "INBOX" / "2.eml").write_bytes(HTML.replace(b"From: a@b.c\r\n", b""))
+    (tmp_path / "INBOX" / "note.txt").write_bytes(b"x")
+    raw = mime.read_mail_files(spark, str(tmp_path), "me")
+    got = {r.id: r for r in mime.parse_headers(raw).collect()}
+    assert (got["1.eml"].subject, got["1.eml"].size, got["1.eml"].source_folder, got["1.eml"].mailbox) == ("Grüße", 77, "INBOX", "me")
+    assert (got["2.eml"].subject, got["2.eml"].from_raw, got["2.eml"].size, got["2.eml"].received_at) == ("No Subject", "Unknown", 0, None)
+    parsed = {r.id: r for r in mime.parse_all(raw, F.lit("2023-11-25").cast("timestamp")).collect()}
+    assert parsed["1.eml"].from_email == "john.doe@example.com" and len(parsed) == 2
+
+
 ROW = ("1", "d", "a@b", 'He said "hi", twice', "s", "line1\nline2", "feed", 0.9, "INBOX")
 
 
@@ -64,7 +77,7 @@ def stream(spark, folder, files_per_batch=None):
 
 
 def run(spark, folder):
-    query = pipeline.triage_stream(stream(spark, folder, 1), corpus.SETTINGS, f"{folder}/out", f"{folder}/checkpoint")
+    query = jobs.triage_stream(stream(spark, folder, 1), corpus.SETTINGS, f"{folder}/out", f"{folder}/checkpoint")
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out/messages")
 
@@ -91,22 +104,22 @@ def test_batch_can_be_repeated(spark, tmp_path):
     documents = spark.createDataFrame([(i, "t", "en", "src1", 7) for i in range(100, 110)], "doc_id long, text string, lang string, source string, n_chars long")
     batch = corpus.message_rows(documents, spark.createDataFrame([], "page_id long, url string, html string"))
     for _ in range(2):
-        pipeline.triage_batch(batch, 0, corpus.SETTINGS, str(tmp_path))
+        jobs.triage_batch(batch, 0, corpus.SETTINGS, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/messages").count() == 10
-    pipeline.triage_batch(batch, 1, corpus.SETTINGS, str(tmp_path))
+    jobs.triage_batch(batch, 1, corpus.SETTINGS, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/messages").count() == 10
 
 
 def test_stream_dedup_and_windows(spark, tmp_path):
     folder = str(tmp_path)
     arrive(spark, folder, [100, 101, 110, 111], "a")
-    rows = pipeline.dedup_stream(stream(spark, folder)).select("uid", "hash")
+    rows = jobs.dedup_stream(stream(spark, folder)).select("uid", "hash")
     query = rows.writeStream.format("memory").queryName("dedup").trigger(availableNow=True).option("checkpointLocation", f"{folder}/c1").start()
     query.awaitTermination()
     kept = {r.uid for r in spark.table("dedup").collect()}
     assert len(kept) == 3 and {100, 101} <= kept
     judged = stream(spark, folder).withColumn("category", F.lit(R.CATEGORIES[0]))
-    stats = pipeline.windowed_stats_stream(judged)
+    stats = jobs.windowed_stats_stream(judged)
     query = stats.writeStream.outputMode("complete").format("memory").queryName("stats").trigger(availableNow=True).option("checkpointLocation", f"{folder}/c2").start()
     query.awaitTermination()
     assert sum(r.transactions for r in spark.table("stats").collect()) == 4

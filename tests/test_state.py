@@ -145,6 +145,12 @@ def test_log_row_golden(spark):
         "123", "promotions", 0.95, "This is a test body. With newlines.", "", "classified")
 
 
+def test_message_records_take_defaults(spark):
+    got = store.message_records(spark.createDataFrame([("7", "S")], "id string, subject string"), F.lit(NOON)).first()
+    assert (got.id, got.hash, got.subject, got.body_text, got.size, got.has_attachments, got.attachments, got.processing_state) == (
+        "7", "7", "S", "", 0, False, [], "new")
+
+
 def test_retention_uses_partitions(spark, tmp_path):
     rows = spark.createDataFrame([(1, NOON), (2, NOON - dt.timedelta(days=89)), (3, NOON - dt.timedelta(days=91))], "uid long, saved_at timestamp")
     tables.append_log(rows, str(tmp_path / "log"))
