@@ -81,7 +81,7 @@ def keyword_scores_joined(df: DataFrame, rules: DataFrame, key: Sequence[str] =
         F.sum(F.when(F.col("category") == category, F.col("weight")).otherwise(0)).cast("int").alias(f"score_{category}")
         for category in SCORED_CATEGORIES
     ])
-    return df.select(*key).join(totals, list(key), "left").na.fill(0)
+    return df.select(*key).join(totals, list(key), "left").na.fill(0, [f"score_{c}" for c in SCORED_CATEGORIES])
 
 
 def keyword_hits(df: DataFrame, rules: Sequence[KeywordRule] | None = None) -> DataFrame:

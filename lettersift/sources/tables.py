@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import RECENT_HASHES, WATERMARK
 
+# Every so many batches the whole state is written, so that reading it does not take longer and longer.
+SNAPSHOT_EVERY = 50
 STATE = (
     "mailbox string, newest struct<hash:string,date:string,subject:string,received_at:timestamp>, "
     "recent array<struct<hash:string,batch_id:bigint,seq:bigint>>"
@@ -22,11 +24,12 @@ def write_version(df: DataFrame, path: str, version: int, partition_by: tuple[st
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/version={version}")
 
 
-def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All versions of a table; a table that does not exist yet is empty."""
+def read_versions(spark: SparkSession, path: str, schema: str, versions: range | None = None) -> DataFrame:
+    """All versions of a table, or the given ones. A table that does not exist yet is empty."""
     full = f"{schema}, version bigint"
+    folders = [path] if versions is None else [f"{path}/version={v}" for v in versions]
     try:
-        return spark.read.schema(full).option("basePath", path).parquet(path)
+        return spark.read.schema(full).option("basePath", path).parquet(*folders)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -40,17 +43,28 @@ def state_rows(marks: DataFrame, recent: DataFrame) -> DataFrame:
     return lists.join(newest, "mailbox", "full").select("mailbox", "newest", "recent")
 
 
-def latest_state(versions: DataFrame, before: int | None = None) -> DataFrame:
-    """The last row of each mailbox, of versions before ``before`` if given."""
-    if before is not None:
-        versions = versions.where(F.col("version") < before)
-    return versions.groupBy("mailbox").agg(
-        F.max_by(F.struct("newest", "recent"), "version").alias("_row")
-    ).select("mailbox", "_row.*")
+def is_snapshot(version: int) -> bool:
+    """Versions that hold every mailbox; the others hold those a batch changed."""
+    return version % SNAPSHOT_EVERY == 0
+
+
+def latest_state(versions: DataFrame) -> DataFrame:
+    """The last row of each mailbox."""
+    latest = versions.groupBy("mailbox").agg(F.max_by(F.struct("newest", "recent"), "version").alias("_row"))
+    return latest.select("mailbox", "_row.*")
 
 
 def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    return latest_state(read_versions(spark, path, STATE), before)
+    """State after the last version, or before version ``before``.
+
+    With ``before`` only the versions since the snapshot that precedes it are listed and read.
+    """
+    if before is None:
+        return latest_state(read_versions(spark, path, STATE))
+    if before == 0:
+        return latest_state(spark.createDataFrame([], f"{STATE}, version bigint"))
+    first = (before - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+    return latest_state(read_versions(spark, path, STATE, range(first, before)))
 
 
 def marks_of(state: DataFrame) -> DataFrame:
@@ -63,11 +77,6 @@ def recent_of(state: DataFrame) -> DataFrame:
     return rows.select(*[f.split()[0] for f in RECENT_HASHES.split(", ")])
 
 
-def compact_state(spark: SparkSession, path: str, target: str, before: int) -> None:
-    """Write the state before a batch as one version of a new table, to shorten later reads."""
-    write_version(read_state(spark, path, before), target, before - 1)
-
-
 def append_log(df: DataFrame, path: str, day: str = "saved_at") -> None:
     """Append log rows in folders by day, which retention and date filters can skip."""
     df.withColumn("saved_date", F.to_date(F.col(day))).write.mode("append").partitionBy("saved_date").parquet(path)

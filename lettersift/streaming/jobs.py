@@ -11,7 +11,7 @@ from ..operators.ingest import new_messages, with_hash
 from ..operators.state import advance_state
 from ..operators.triage import Scorer, classify_rules, run_stats, triage
 from ..rules import Settings
-from ..sources.tables import marks_of, read_state, recent_of, state_rows, write_version
+from ..sources.tables import is_snapshot, marks_of, read_state, recent_of, state_rows, write_version
 
 _STATE_COLUMNS = ["mailbox", "uid", "hash", "date", "subject", "received_at"]
 
@@ -20,8 +20,8 @@ def triage_batch(batch: DataFrame, batch_id: int, settings: Settings, out: str,
     """Process one micro-batch: judged messages, then run statistics, then state.
 
     Judged messages are written once; statistics and state are read from what was written. The state
-    moves last, so a batch that failed starts again from the same state. Only mailboxes that occur in
-    the batch get a new state row.
+    moves last, so a batch that failed starts again from the same state. Between snapshots only
+    mailboxes that occur in the batch get a new state row.
     """
     spark = batch.sparkSession
     state = read_state(spark, f"{out}/state", before=batch_id)
@@ -32,7 +32,7 @@ def triage_batch(batch: DataFrame, batch_id: int, settings: Settings, out: str,
     written = spark.read.parquet(f"{out}/messages/version={batch_id}")
     write_version(run_stats(written), f"{out}/run_stats", batch_id)
     done = written.where(F.col("category").isNotNull()).select(*_STATE_COLUMNS)
-    touched = state.join(done.select("mailbox").distinct(), "mailbox", "left_semi")
+    touched = state if is_snapshot(batch_id) else state.join(done.select("mailbox").distinct(), "mailbox", "left_semi")
     new_marks, new_recent = advance_state(done, batch_id, marks_of(touched), recent_of(touched))
     write_version(state_rows(new_marks, new_recent), f"{out}/state", batch_id)
 

@@ -110,6 +110,20 @@ def test_batch_can_be_repeated(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/messages").count() == 10
 
 
+def test_snapshots_hold_every_mailbox(spark, tmp_path, monkeypatch):
+    from lettersift.sources import tables
+
+    monkeypatch.setattr(tables, "SNAPSHOT_EVERY", 2)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for batch_id, source in enumerate(["src1", "src77", "src77", "src77"]):
+        documents = spark.createDataFrame([(1000 + batch_id, "t", "en", source, 7)], "doc_id long, text string, lang string, source string, n_chars long")
+        jobs.triage_batch(corpus.message_rows(documents, pages), batch_id, corpus.SETTINGS, str(tmp_path))
+    counts = {r.version: r.n for r in spark.read.parquet(f"{tmp_path}/state").groupBy("version").agg(F.count("*").alias("n")).collect()}
+    assert counts == {0: 1, 1: 1, 2: 2, 3: 1}
+    state = tables.read_state(spark, f"{tmp_path}/state", before=4)
+    assert {r.mailbox: len(r.recent) for r in state.collect()} == {"personal": 1, "work": 3}
+
+
 def test_stream_dedup_and_windows(spark, tmp_path):
     folder = str(tmp_path)
     arrive(spark, folder, [100, 101, 110, 111], "a")
