@@ -61,7 +61,12 @@ def is_late(received_at: Column, watermark: Column) -> Column:
 
 def drop_late(df: DataFrame, watermark: DataFrame) -> DataFrame:
     """Leave out messages far behind the watermark of their mailbox."""
-    marks = small(watermark.select("mailbox", F.col("received_at").alias("_mark")))
+    return drop_behind(df, small(watermark))
+
+
+def drop_behind(df: DataFrame, watermark: DataFrame) -> DataFrame:
+    """:func:`drop_late` for a watermark table that was checked before."""
+    marks = watermark.select("mailbox", F.col("received_at").alias("_mark"))
     return df.join(marks, "mailbox", "left").where(~is_late(F.col("received_at"), F.col("_mark"))).drop("_mark")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.headers import message_hash, whole_days
 from ..functions.text import or_empty
 from ..rules import INBOX
-from .filters import drop_late, is_late, unread
+from .filters import drop_behind, is_late, unread
 from .joins import small
 from .scan import fetch_bodies, headers, newest
 
@@ -42,7 +42,7 @@ def candidates(header_rows: DataFrame, marks: DataFrame, as_of: Column, limit: i
     if unread_only:
         found = unread(found)
     starts = marks.select("mailbox", look_back(F.col("received_at"), as_of, days).alias("_days"))
-    found = found.join(small(starts), "mailbox", "left")
+    found = found.join(starts, "mailbox", "left")
     # A look-back of 0 days (a watermark in the future) means no limit.
     span = F.coalesce("_days", F.lit(days))
     recent = F.col("received_at") >= F.date_sub(F.to_date(as_of), span).cast("timestamp")
@@ -54,8 +54,9 @@ def ingest_new(header_rows: DataFrame, bodies: DataFrame, recent: DataFrame, mar
                limit: int = 100, unread_only: bool = True, days: int = 7, folder: str = INBOX,
                null_id: str = "drop", dedup_within_batch: bool = False) -> DataFrame:
     """New messages of each mailbox with bodies. Bodies are only joined for messages that are left."""
-    found = candidates(header_rows, marks, as_of, limit, unread_only, days, folder)
-    fresh = drop_late(new_messages(found, recent, marks, null_id), marks)
+    checked = small(marks)
+    found = candidates(header_rows, checked, as_of, limit, unread_only, days, folder)
+    fresh = drop_behind(new_messages(found, recent, marks, null_id), checked)
     if dedup_within_batch:
         fresh = fresh.dropDuplicates(["mailbox", "hash"])
     return fetch_bodies(fresh, bodies)
@@ -63,10 +64,11 @@ def ingest_new(header_rows: DataFrame, bodies: DataFrame, recent: DataFrame, mar
 
 def ingest_counters(header_rows: DataFrame, recent: DataFrame, marks: DataFrame, as_of: Column, **criteria) -> DataFrame:
     """Per mailbox: found, already processed, late and new messages, in one pass over the headers."""
-    found = candidates(header_rows, marks, as_of, **criteria)
+    checked = small(marks)
+    found = candidates(header_rows, checked, as_of, **criteria)
     done = remembered(recent, marks).withColumn("_done", F.lit(True))
-    dates = marks.select("mailbox", F.col("received_at").alias("_mark"))
-    flagged = found.join(small(done), ["mailbox", "hash"], "left").join(small(dates), "mailbox", "left").withColumns({
+    dates = checked.select("mailbox", F.col("received_at").alias("_mark"))
+    flagged = found.join(small(done), ["mailbox", "hash"], "left").join(dates, "mailbox", "left").withColumns({
         "_done": F.coalesce("_done", F.lit(False)),
         "_late": is_late(F.col("received_at"), F.col("_mark")),
     })

@@ -13,7 +13,7 @@ def message_stream(spark, sf):
     """The documents as a stream of messages, joined with the pages as a static table."""
     schema = corpus.table(spark, sf, "documents").schema
     documents = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*")
-    return corpus.message_rows(documents, corpus.table(spark, sf, "pages"))
+    return corpus.message_rows(corpus.spread(documents), corpus.table(spark, sf, "pages"))
 
 
 @query(f"""{sql.DECIDED} SELECT uid, category, confidence, array_to_string(topics, ',') AS topics, sender_status, planned_action FROM p""")
