@@ -18,9 +18,10 @@ from .joins import fits, small
 _GRAM = 3
 
 
-def _grams(text: Column) -> Column:
-    """Distinct character sequences of length 1 to 3."""
-    sizes = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, _GRAM + 1)]
+def _grams(text: Column, keyed: DataFrame) -> Column:
+    """Distinct character sequences of the lengths the terms are keyed by: at most 1, 2 and 3."""
+    lengths = [r[0] for r in keyed.select(F.length("_gram")).distinct().collect()]
+    sizes = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(lengths) or [_GRAM]]
     return F.array_distinct(F.concat(*sizes))
 
 
@@ -30,8 +31,9 @@ def _keyed(terms: DataFrame, term: str) -> DataFrame:
 
 def substring_candidates(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
     """Pairs of key and term that may match; each pair once. ``terms`` must not hold empty terms."""
-    grams = texts.select(*key, F.explode(_grams(F.col(text))).alias("_gram"))
-    return grams.join(small(_keyed(terms, term)), "_gram").drop("_gram")
+    keyed = _keyed(terms, term)
+    grams = texts.select(*key, F.explode(_grams(F.col(text), keyed)).alias("_gram"))
+    return grams.join(small(keyed), "_gram").drop("_gram")
 
 
 def _candidates(texts: DataFrame, key: Sequence[str], pieces: Column, piece: str, terms: DataFrame) -> DataFrame:
@@ -53,5 +55,6 @@ def token_hits(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame
 
 def substring_hits(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
     """Rows of ``texts`` with each term that the text contains."""
-    found = _candidates(texts, key, _grams(F.col(text)), "_gram", _keyed(terms, term))
+    keyed = _keyed(terms, term)
+    found = _candidates(texts, key, _grams(F.col(text), keyed), "_gram", keyed)
     return found.where(F.contains(F.col(text), F.col(term))).drop("_gram")

@@ -73,6 +73,21 @@ def test_rules_on_random_mails_and_joined_form(spark):
     assert plain == joined
 
 
+def test_term_tables_too_large_to_broadcast(spark, monkeypatch):
+    from lettersift.operators import terms
+
+    df = mail(spark, random_mails(40, 5))
+    columns = ["uid", *[f"score_{c}" for c in R.SCORED_CATEGORIES]]
+    names = ["machine learning", "kubernetes", "sale", "limited time", "é"]
+    plain = {tuple(r) for r in classify.keyword_scores(df).select(*columns).collect()}
+    small = {tuple(r) for r in topics.topic_scores(df, R.topic_terms_table(spark, names)).collect()}
+    monkeypatch.setattr(terms, "fits", lambda table, rows=0: False)
+    joined = classify.keyword_scores_joined(df, R.keyword_rules_table(spark))
+    assert {tuple(r) for r in joined.select(*columns).collect()} == plain
+    large = {tuple(r) for r in topics.topic_scores(df, R.topic_terms_table(spark, names)).collect()}
+    assert large == small and small
+
+
 def test_custom_rules_and_quotes(spark):
     rules = [R.KeywordRule("feed", "text", "it's \\ odd", 2)]
     got = classify.classify_rules(mail(spark, [(1, "IT'S \\ ODD", "", "", "")]), rules).first()
