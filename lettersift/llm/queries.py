@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontamination
 from .common import table
 from .packing import pack
+from .secrets import PATTERNS, scan_secrets, spans_text
 from .tokens import context_table, length_histogram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +36,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_table(length_histogram(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.kind != "entropy")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in PATTERNS],
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query(decontamination.ORACLE)
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
