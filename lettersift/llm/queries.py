@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import decontamination, near
 from .common import table
 from .packing import pack
+from .quality import score_quality
 from .secrets import PATTERNS, scan_secrets, spans_text
 from .tokens import context_table, length_histogram
 from .toxicity import score_toxicity
@@ -67,3 +68,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
