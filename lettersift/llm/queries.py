@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, near
 from .common import table
+from .fingerprints import compare_with_edits
 from .packing import pack
 from .quality import score_quality
 from .secrets import PATTERNS, scan_secrets, spans_text
@@ -73,3 +74,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
