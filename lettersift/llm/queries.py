@@ -12,6 +12,7 @@ from .common import table
 from .fingerprints import compare_with_edits
 from .packing import pack
 from .quality import score_quality
+from .repeats import repeated_passages
 from .secrets import PATTERNS, scan_secrets, spans_text
 from .tokens import context_table, length_histogram
 from .toxicity import score_toxicity
@@ -79,3 +80,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
