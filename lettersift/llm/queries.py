@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near
+from . import chat, decontamination, near
 from .common import table
 from .fingerprints import compare_with_edits
 from .packing import pack
@@ -85,3 +85,8 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query(chat.ORACLE)
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.preference_pairs(table(spark, sf_dir, "conversations")))
