@@ -58,3 +58,10 @@ def fits(df: DataFrame, rows: int) -> bool:
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Mark a narrow table for broadcasting if it has at most ``rows`` rows, else leave the join to shuffle."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table doesn't have."""
+    while stem.lower() in map(str.lower, df.columns):
+        stem += "_"
+    return stem

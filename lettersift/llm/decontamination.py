@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fits, small_side, with_row_id
+from .common import ascii_lower, fits, free_name, small_side, with_row_id
 
 # Fixed value: what separates words once A-Z are lower-cased. All characters above 127 belong to words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -113,26 +113,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     # The result depends on the text alone, so repeated rows share it.
-    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_key"))
-    same_key = keyed.select(F.col("_key").alias("doc_id"), "text")
-    dirty = contamination(same_key, items, n).where("contaminated").select(F.col("doc_id").alias("_key"), "hits")
+    key, hits, gone = (free_name(docs, name) for name in ("_key", "_hits", "_gone"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), items, n).where("contaminated")
+    dirty = found.select(F.col("doc_id").alias(key), F.col("hits").alias(hits)).dropDuplicates([key])
     if remove == "documents":
-        keys = dirty.select("_key").distinct()
-        return keyed.join(small_side(keys, BROADCAST_DOCUMENTS), "_key", "left_anti").drop("_key")
-    hits = dirty.dropDuplicates(["_key"])
-    word = "[^" + GAP[1:]
+        return keyed.join(small_side(dirty.select(key), BROADCAST_DOCUMENTS), key, "left_anti").drop(key)
     text = F.col("text").cast("string")
-    words = F.regexp_extract_all(text, F.lit(word.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")), F.lit(0))
-    gaps = F.split(text, word.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))
-    removed = F.flatten(F.transform("hits", lambda h: F.sequence(h.at, h.at + h.len - 1)))
-    kept = F.transform(words, lambda w, i: F.when(F.array_contains(F.col("_gone"), i), "").otherwise(w))
-    joined = keyed.join(small_side(hits, BROADCAST_WINDOWS), "_key", "left").withColumn(
-        "_gone", F.when(F.col("hits").isNotNull(), F.array_distinct(removed)))
+    # Words as in the original text, so with A-Z.
+    word = "[^" + GAP[1:].replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+    words, gaps = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word)
+    joined = keyed.join(small_side(dirty, BROADCAST_WINDOWS), key, "left").withColumn(
+        gone, F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h.at, h.at + h.len - 1)))))
+    kept = F.transform(words, lambda w, i: F.when(F.array_contains(F.col(gone), i), "").otherwise(w))
     rest = F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
-    cleaned = joined.withColumn("text", F.when(F.col("hits").isNotNull(), rest).otherwise(F.col("text")))
+    hit = F.col(hits).isNotNull()
+    cleaned = joined.withColumn("text", F.when(hit, rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("hits").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+        cleaned = cleaned.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return cleaned.select(*docs.columns)
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, with_row_id
+from .common import free_name, small_side, with_row_id
 
 # The base patterns in the order in which spans of equal start are listed, and what a match must be.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -132,9 +132,10 @@ def redact(docs: DataFrame, allow: tuple[str, ...] = ALLOW, mask: str = MASK) ->
     counted anew where the text changed.
     """
     # Spans depend on the text alone, so repeated rows share them.
-    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_key"))
-    found = scan_secrets(keyed.select(F.col("_key").alias("doc_id"), "text"), allow).where(F.size("spans") > 0)
-    found = found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_key"), "spans")
+    key, spans = (free_name(docs, name) for name in ("_key", "_spans"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = scan_secrets(keyed.select(F.col(key).alias("doc_id"), "text"), allow).where(F.size("spans") > 0)
+    found = found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
     text = F.col("text").cast("string")
 
     def cut(s, span):
@@ -144,9 +145,9 @@ def redact(docs: DataFrame, allow: tuple[str, ...] = ALLOW, mask: str = MASK) ->
         return F.struct(F.array_append(s.parts, piece).alias("parts"), F.greatest(s.end, span.end).alias("end"))
 
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("end"))
-    clean = F.aggregate("spans", start, cut, lambda s: F.concat(F.array_join(s.parts, ""), F.substring(text, s.end + 1, F.length(text))))
-    rows = keyed.join(small_side(found, BROADCAST_DOCUMENTS), "_key", "left")
-    hit = F.col("spans").isNotNull()
+    clean = F.aggregate(spans, start, cut, lambda s: F.concat(F.array_join(s.parts, ""), F.substring(text, s.end + 1, F.length(text))))
+    rows = keyed.join(small_side(found, BROADCAST_DOCUMENTS), key, "left")
+    hit = F.col(spans).isNotNull()
     rows = rows.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

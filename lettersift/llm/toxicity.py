@@ -30,7 +30,7 @@ LEXICON = frozenset(
     "fool imbecile retard bastard bitch asshole jerk".split())
 PATTERNS = (
     re.compile(r"\b(?:you|he|she|they)(?:'re| are|'s| is) (?:an? )?(?:such |so )?[a-z]+!"),
-    re.compile(r"(?:\b[A-Z]{3,}\b\W+){6}"),
+    re.compile(r"[A-Z]{3,}(?:\W+[A-Z]{3,}){5}"),
     re.compile(r"[a-z][*@#]{2,}[a-z]"),
 )
 BEGINNINGS = (4, 5, 6)
@@ -69,10 +69,13 @@ class TermFinder:
         return (place, begun) if begun or place >= 0 else None
 
     def __call__(self, text: str | None) -> set[int]:
+        return self.among(set(_words((text or "").lower())))
+
+    def among(self, words: set[str]) -> set[int]:
         known, found, begun = self.known, set(), []
         if len(known) > self.limit:
             known.clear()
-        for word in set(_words((text or "").lower())):
+        for word in words:
             if word in known:
                 hit = known[word]
             else:
@@ -89,12 +92,13 @@ class TermFinder:
 
 def voter_mask(text: str | None, finder: TermFinder) -> int:
     """Bits of the voters that fire: terms first, then the lexicon, then the patterns."""
+    text = text or ""
+    words = set(_words(text.lower()))
     mask = 0
-    for i in finder(text):
+    for i in finder.among(words):
         mask |= 1 << i
     n = len(finder.index)
-    text = text or ""
-    if not LEXICON.isdisjoint(_words(text.lower())):
+    if not LEXICON.isdisjoint(words):
         mask |= 1 << n
     for i, pattern in enumerate(PATTERNS):
         if pattern.search(text):
