@@ -6,8 +6,8 @@ a shared rare or small shingle, a tile is not met by texts that only share a pas
 clusters (connected components, by identifiers alone), and only clusters are compared: pairs of compatible sizes,
 first by hashed bitmaps, whose differing bits bound the intersection from above, then by the sorted arrays.
 
-Hot groups. Copies have the same set digest and count as one. Equal tiles of one batch of documents are reduced to
-one row before the shuffle. Clusters that are too large for one task are compared in blocks, and afterwards only the
+Hot groups. Copies have the same set digest and count as one. Tiles that many sets share are left out wherever a set
+has enough others, so that a common passage ties nothing together. Clusters that are too large for one task are compared in blocks, and afterwards only the
 documents outside the largest group so found with all others, so a group of near copies costs little more than
 one pass. No pair between different groups is left uncompared, hence no group is split.
 
@@ -34,7 +34,10 @@ BLOCK_DOCUMENTS = 2048
 BLOCK_SHINGLES = 2_000_000
 BROADCAST_ROWS = 1_000_000
 BITMAP_BITS = 1024
-BAND = 1.25
+BAND = 1.4
+# A tile that more sets have counts as hot. The result doesn't depend on it.
+HOT_TILE = 16
+SPARE = 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,7 +88,7 @@ class Bands:
         ranges = differ + 1
         if differ:  # some ranges are empty by chance and can't tell anything
             empty = ranges * exp(-first / ranges)
-            ranges += ceil(empty + 3 * sqrt(empty))
+            ranges += 2 + ceil(empty + 3 * sqrt(empty))
         return partner, differ, ranges
 
     def of(self, size: int) -> list[tuple[int, int, int]]:
@@ -99,21 +102,23 @@ class Bands:
             self._known[size] = found
         return self._known[size]
 
-    def tiles(self, shingles: np.ndarray) -> np.ndarray:
-        """Keys of the tiles of a set. Range and band are part of a key."""
+    def tiles(self, shingles: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """``(keys, spare, first)`` of each band of a set: its tiles, and how many of them it shares at least with any
+        partner in the band. Range and band are part of a key.
+        """
         sums = np.concatenate(([_U(0)], np.cumsum(_mix(shingles + _U(0x9E3779B97F4A7C15)), dtype=_U)))
-        keys = []
+        found = []
         for first, differ, ranges in self.of(len(shingles)):
             own = ((shingles >> _U(32)) * _U(ranges)) >> _U(32)
             ends = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, len(own))
             begins = np.concatenate(([0], ends[:-1]))
-            used = own[begins]
-            salt = used * _U(0xD6E8FEB86659FD93) + _U(first * 0xA0761D6478BD642F % 2**64)
-            keys.append(_mix(_mix(sums[ends] - sums[begins]) + salt))
+            used, band = own[begins], _U(first * 0xA0761D6478BD642F % 2**64)
+            keys = _mix(_mix(sums[ends] - sums[begins]) + used * _U(0xD6E8FEB86659FD93) + band)
             if len(used) <= differ:  # so few that the agreeing range may be an empty one
                 rest = np.setdiff1d(np.arange(ranges, dtype=_U), used)
-                keys.append(_mix(rest * _U(0xD6E8FEB86659FD93) + _U(first * 0xA0761D6478BD642F % 2**64) + _U(1)))
-        return np.unique(np.concatenate(keys))
+                keys = np.concatenate([keys, _mix(rest * _U(0xD6E8FEB86659FD93) + band + _U(1))])
+            found.append((keys, max(0, len(used) - differ), first))
+        return found
 
 
 def _digest(shingles: np.ndarray) -> int:
@@ -135,7 +140,11 @@ def _sizes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """Links ``(a, b)`` between digests that share a tile: each one with the smallest of the tile."""
+    """Links ``(a, b)`` between digests that share a tile: each one with the smallest of the tile.
+
+    A tile that many sets have tells little: it holds nothing but a passage that all of them share. A set needs such
+    tiles only if there are so many of them that they may be all it shares with a partner.
+    """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = {}
@@ -143,44 +152,44 @@ def _candidates(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
                 shingles = shingle_set(text.as_py(), width)
                 if len(shingles):
                     sets.setdefault(_digest(shingles), shingles)
-            digests = np.array(sorted(sets), np.int64)
-            tiles = [bands.tiles(sets[d]) for d in digests.tolist()]
-            keys = np.concatenate([*tiles, np.empty(0, _U)]).view(np.int64)
-            owner = np.repeat(digests, [len(t) for t in tiles])
-            # Owners ascend, so the first row of a key has its smallest digest; the others hang on it.
-            distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            leader = owner[first]
-            rest = leader[back] != owner
-            local = np.unique(np.stack([owner[rest], leader[back][rest]], axis=1), axis=0)
-            nothing = pa.nulls(len(distinct), pa.int64())
+            parts = [(keys, digest, first * SPARE + min(spare, SPARE - 1)) for digest, shingles in sets.items()
+                     for keys, spare, first in bands.tiles(shingles)]
+            sizes = [len(keys) for keys, _, _ in parts]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([distinct, local[:, 0]])),
-                pa.array(np.concatenate([leader, local[:, 0]])),
-                pa.concat_arrays([nothing, pa.array(local[:, 1])]),
-            ], ["tile", "digest", "leader"])
-
-    tiles = docs.mapInArrow(emit, "tile long, digest long, leader long")
-    smallest = F.min("digest").over(Window.partitionBy("tile"))
-    linked = tiles.withColumn("b", F.coalesce("leader", smallest)).where("b != digest")
+                pa.array(np.concatenate([*(keys for keys, _, _ in parts), np.empty(0, _U)]).view(np.int64)),
+                pa.array(np.repeat(np.array([d for _, d, _ in parts], np.int64), sizes)),
+                pa.array(np.repeat(np.array([s for _, _, s in parts], np.int64), sizes)),
+            ], ["tile", "digest", "place"])
+
+    rows = docs.mapInArrow(emit, "tile long, digest long, place long")
+    of_tile = Window.partitionBy("tile")
+    met = rows.select("*", F.min("digest").over(of_tile).alias("low"), F.max("digest").over(of_tile).alias("high"),
+                      F.count("*").over(of_tile).alias("n")).where("low < high")
+    # Copies in several batches repeat rows.
+    met = saved(met.select("tile", "digest", "place", (F.col("n") > HOT_TILE).alias("hot")).distinct(), "tiles")
+    hot = F.sum(F.col("hot").cast("int")).over(Window.partitionBy("digest", "place"))
+    telling = met.withColumn("all_hot", hot).where(~F.col("hot") | (F.col("all_hot") >= F.col("place") % SPARE))
+    linked = telling.withColumn("b", F.min("digest").over(of_tile)).where("b != digest")
     return linked.select(F.col("digest").alias("a"), "b").distinct()
 
 
-def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``(digest, cluster, shingles)`` of one document per member digest."""
+def _sets(docs: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """Replace ``doc_id`` of ``placed (doc_id, digest, ...)`` by the document's ``shingles``."""
+    columns = [c for c in placed.columns if c != "doc_id"]
+    schema = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in columns) + ", shingles binary"
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, digest, cluster in zip(*(batch.column(i) for i in range(3)), strict=True):
-                shingles = shingle_set(text.as_py(), width)
-                if _digest(shingles) == digest.as_py():  # rows may share a doc_id
-                    rows.append((digest.as_py(), cluster.as_py(), len(shingles), shingles.tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["digest", "cluster", "n", "shingles"])
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
+            digests = batch.column(1).to_pylist()
+            # Rows may share a doc_id; only those with the wanted set count.
+            rows = pa.array([i for i, (s, d) in enumerate(zip(sets, digests, strict=True)) if _digest(s) == d], pa.int64())
+            kept = batch.take(rows)
+            shingles = pa.array([sets[i].tobytes() for i in rows.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*kept.columns[1:], shingles], [*columns, "shingles"])
 
-    texts = docs.join(small_side(members, BROADCAST_ROWS), "doc_id").select("text", "digest", "cluster")
-    return texts.mapInArrow(fill, "digest long, cluster long, n long, shingles binary").dropDuplicates(["digest"])
+    texts = docs.join(small_side(placed, BROADCAST_ROWS), "doc_id").select("text", *columns)
+    return texts.mapInArrow(fill, schema)
 
 
 def _bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -235,49 +244,54 @@ def _compare(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("tile").applyInPandas(compare, "a long, b long")
 
 
-def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links that matter between members of the same cluster."""
-    sizes = saved(sets.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")), "clusters")
+def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """All links that matter between ``members (doc_id, digest, cluster, n)`` of the same cluster.
+
+    Only identifiers and sizes are grouped to deal the members into tiles; their sets are then made from the texts
+    and shuffled once.
+    """
+    sizes = saved(members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")), "clusters")
     total = sizes.agg(F.sum("shingles")).first()[0] or 0
     large = sizes.where((F.col("docs") > BLOCK_DOCUMENTS) | (F.col("shingles") > 2 * BLOCK_SHINGLES)).select(
         "cluster", F.greatest(
             F.ceil(F.col("docs") / (BLOCK_DOCUMENTS // 2)), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     large = saved(large, "large")
-    rows = sets.join(small_side(large, BROADCAST_ROWS), "cluster", "left")
+    rows = members.join(small_side(large, BROADCAST_ROWS), "cluster", "left")
     together = F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // (BLOCK_SHINGLES // 2))))
-    block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    every_block = F.sequence(F.lit(0), F.col("blocks") - 1)
     # The smallest member of a large cluster is in every block and ties the blocks together.
-    blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).when(
-        F.col("digest") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block.cast("int")))
-    first = rows.withColumn("block", F.explode(blocks)).select(
-        F.when(F.col("block") < 0, F.struct(F.lit(-1).alias("block"), together.alias("key"))).otherwise(
-            F.struct(F.col("block"), F.col("cluster").alias("key"))).alias("tile"),
-        "digest", "cluster", F.col("digest").alias("known"), F.lit(True).alias("probe"), "shingles")
+    blocks = F.when(F.col("digest") == F.col("cluster"), every_block).otherwise(F.array(block))
+    tiles = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(-1).alias("block"), together.alias("key")))).otherwise(
+        F.transform(blocks, lambda b: F.struct(b.alias("block"), F.col("cluster").alias("key"))))
+    first = _sets(docs, rows.select("doc_id", "digest", "cluster", tiles.alias("tiles")), width).select(
+        F.explode("tiles").alias("tile"), "digest", "cluster", F.col("digest").alias("known"), F.lit(True).alias("probe"), "shingles")
     links = saved(_compare(first, num, den), "near")
     if not large.take(1):
         return links
     known = components(links)
-    members = sets.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "cluster").join(
-        known, sets["digest"] == known["id"], "left").select(
-        "digest", "cluster", "blocks", "shingles", F.coalesce("component", "digest").alias("known"))
-    members = saved(members, "members")
-    groups = members.groupBy("cluster", "known").agg(F.count("*").alias("docs"))
-    main = groups.groupBy("cluster").agg(F.max_by("known", F.struct("docs", "known")).alias("main"), F.sum("docs").alias("all"))
+    in_large = members.join(small_side(large, BROADCAST_ROWS), "cluster").join(known, members["digest"] == known["id"], "left").select(
+        "doc_id", "digest", "cluster", "blocks", F.coalesce("component", "digest").alias("known"))
+    in_large = saved(in_large, "members")
+    groups = in_large.groupBy("cluster", "known").agg(F.count("*").alias("docs"))
+    main = groups.groupBy("cluster").agg(F.max_by("known", F.struct("docs", "known")).alias("main"))
     outside = groups.join(main, "cluster").where("known != main").groupBy("cluster", "main").agg(
         F.ceil(F.sum("docs") / (BLOCK_DOCUMENTS // 2)).cast("int").alias("chunks"))
     outside = saved(outside, "outside")
     if not outside.take(1):
         return links
     # Documents outside their cluster's main group meet all documents of the cluster, block by block.
-    rows = members.join(small_side(outside, BROADCAST_ROWS), "cluster").withColumn("probe", F.col("known") != F.col("main"))
-    chunk, own = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    all_blocks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", own)
-    probes = rows.where("probe").withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = [F.struct("cluster", "chunk", "block").alias("tile"), "digest", "cluster", "known", "shingles"]
-    second = all_blocks.select(*columns, F.lit(False).alias("probe")).union(
-        probes.select(*columns, F.lit(True).alias("probe")))
+    rows = in_large.join(small_side(outside, BROADCAST_ROWS), "cluster").withColumn("outer", F.col("known") != F.col("main"))
+    chunk = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("chunks")).cast("int")
+    place = lambda c, b, probe: F.struct(c.alias("chunk"), b.alias("block"), F.lit(probe).alias("probe"))
+    met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: place(c, block, False))
+    probes = F.transform(every_block, lambda b: place(chunk, b, True))
+    tiles = F.when(F.col("outer"), F.concat(met, probes)).otherwise(met)
+    second = _sets(docs, rows.select("doc_id", "digest", "cluster", "known", tiles.alias("tiles")), width).select(
+        "digest", "cluster", "known", "shingles", F.inline("tiles")).select(
+        F.struct("cluster", "chunk", "block").alias("tile"), "digest", "cluster", "known", "probe", "shingles")
     return links.union(saved(_compare(second, num, den), "near")).union(
-        members.where("digest != known").select(F.col("digest").alias("a"), F.col("known").alias("b")))
+        in_large.where("digest != known").select(F.col("digest").alias("a"), F.col("known").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -294,10 +308,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     named = docs.where("doc_id is not null")
     sizes = saved(_sizes(docs, width), "sizes")
     filled = sizes.where("doc_id is not null and n_shingles > 0")
-    classes = saved(filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "classes")
+    classes = saved(filled.groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n_shingles").alias("n")), "classes")
     clusters = components(_candidates(named, width, Bands(num, den))).select(F.col("id").alias("digest"), F.col("component").alias("cluster"))
-    members = classes.join(clusters, "digest").select("doc_id", "digest", "cluster")
-    links = _links(saved(_sets(named, members, width), "sets"), num, den)
+    members = saved(classes.join(clusters, "digest").select("doc_id", "digest", "cluster", "n"), "clustered")
+    links = _links(named, members, width, num, den)
     # Digests hang together by links and by a doc_id that several rows share.
     shared = filled.groupBy("doc_id").agg(F.min("digest").alias("b"), F.max("digest").alias("a")).where("a != b").select("doc_id", "b")
     links = links.union(filled.join(shared, "doc_id").where("digest != b").select(F.col("digest").alias("a"), "b"))
