@@ -13,6 +13,7 @@ from ..rules import (
     BASE_CONFIDENCE, CONFIDENCE_STEP, DEFAULT_CONFIDENCE, FEED_BONUS, MAX_CONFIDENCE, MIN_SCORE, OPT_OUT_TERMS,
     PROMOTION_BONUS, SCORED_CATEGORIES, KeywordRule, default_keyword_rules,
 )
+from ..schemas import KEY
 from .stage import computed
 from .terms import substring_hits
 
@@ -69,7 +70,7 @@ def keyword_scores(df: DataFrame, rules: Sequence[KeywordRule] | None = None) ->
     return computed(texts, {**scores, "_opt_out": opted})
 
 
-def keyword_scores_joined(df: DataFrame, rules: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
+def keyword_scores_joined(df: DataFrame, rules: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """The scores of :func:`keyword_scores` per key, for a rule table too large to unroll."""
     texts = with_rule_texts(df)
     hits = None

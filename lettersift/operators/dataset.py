@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.model import label_index
 from ..functions.text import first_chars, or_empty, sanitize
 from ..rules import ALL_MAIL_NAMES, CATEGORIES, INBOX, TRASH_NAMES
+from ..schemas import KEY
 from .classify import classify_rules
 from .scan import fetch_bodies, first_nonempty, headers, newest
 from .triage import with_fallback_body
@@ -86,10 +89,10 @@ def split_bucket(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % _BUCKETS
 
 
-def train_val_split(df: DataFrame, key: str = "uid", train_share: float = TRAIN_SHARE) -> DataFrame:
+def train_val_split(df: DataFrame, key: Sequence[str] = KEY, train_share: float = TRAIN_SHARE) -> DataFrame:
     """Add ``split`` (train or val) from a hash of the key: repeatable, without shuffling or counting."""
     return df.withColumn(
-        "split", F.when(split_bucket(F.col(key)) < int(_BUCKETS * train_share), "train").otherwise("val")
+        "split", F.when(split_bucket(F.concat_ws("/", *key)) < int(_BUCKETS * train_share), "train").otherwise("val")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import ALL_MAIL, DELETED, LIVE_LABEL, PROTECTING_TOPIC_SCORE, SEEN, TRASH_LABEL, Settings
+from ..schemas import KEY
 from .senders import ALLOWED, DENIED
 from .stage import computed
 
@@ -79,30 +80,39 @@ def plan_actions(df: DataFrame, settings: Settings = Settings(), label: str = LI
     })
 
 
-def _added(values: Column, *extra: str) -> Column:
+def _added(values: Column, *extra: str | Column) -> Column:
     return F.array_union(F.coalesce(values, F.array().cast("array<string>")), F.array(*[F.lit(e) for e in extra]))
 
 
-def apply_actions(mailbox: DataFrame, plan: DataFrame, key: tuple[str, ...] = ("mailbox", "uid")) -> DataFrame:
+def label_plan(judged: DataFrame, key: tuple[str, ...] = KEY, dry_run: bool = False) -> DataFrame:
+    """The labels of a bulk run (``new_label``) as a plan for :func:`apply_actions`."""
+    labelled = judged.where(F.col("new_label").isNotNull())
+    return labelled.select(
+        *key, F.lit("apply_label").alias("planned_action"), F.col("new_label").alias("planned_label"), F.lit(not dry_run).alias("apply"))
+
+
+def apply_actions(mailbox: DataFrame, plan: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """New mailbox snapshot after carrying out the applied rows of a plan.
 
-    Trashing adds the trash label and flags; archiving moves to the all-mail folder. Rows that are only
-    labelled or not planned keep folder and flags.
+    Trashing adds the trash label and the deleted and seen flags; archiving marks as seen and moves to the all-mail
+    folder. Rows that are only labelled or not planned keep folder and flags. Of several steps for one message
+    the first by name of the action counts.
     """
-    applied = plan.where("apply")
-    steps = applied.select(*key, F.col("planned_action").alias("_action"), F.col("planned_label").alias("_label"))
+    step = F.min(F.struct(F.col("planned_action").alias("_action"), F.col("planned_label").alias("_label")))
+    steps = plan.where("apply").groupBy(*key).agg(step.alias("_step")).select(*key, "_step.*")
     joined = mailbox.join(steps, list(key), "left")
     action, flags, labels = F.col("_action"), F.col("flags"), F.col("labels")
     return joined.withColumns({
         "source_folder": F.when(action == "archive", F.lit(ALL_MAIL)).otherwise(F.col("source_folder")),
-        "flags": F.when(action.isin("move_to_trash", "archive"), _added(flags, DELETED, SEEN)).otherwise(flags),
+        "flags": F.when(action == "move_to_trash", _added(flags, DELETED, SEEN)).when(
+            action == "archive", _added(flags, SEEN)).otherwise(flags),
         "labels": F.when(action == "move_to_trash", _added(labels, TRASH_LABEL))
-                   .when(action == "apply_label", F.array_union(labels, F.array("_label")))
+                   .when(action == "apply_label", _added(labels, F.col("_label")))
                    .otherwise(labels),
     }).drop("_action", "_label")
 
 
-def mark_as_read(mailbox: DataFrame, keys: DataFrame, key: tuple[str, ...] = ("mailbox", "uid")) -> DataFrame:
+def mark_as_read(mailbox: DataFrame, keys: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Add the seen flag to the given messages."""
     marked = mailbox.join(keys.select(*key, F.lit(True).alias("_mark")).distinct(), list(key), "left")
     return marked.withColumn(

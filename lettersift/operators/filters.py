@@ -11,22 +11,44 @@ from pyspark.sql import functions as F
 from ..functions.headers import whole_days
 from ..functions.text import or_empty, strip
 from ..rules import MAX_DAYS_LATE, SEEN, SKIPPED_FOLDER_PARTS
-from .joins import small
 
 
-def _midnight(day: str) -> Column:
+def midnight(day: str) -> Column:
     return F.lit(dt.datetime.strptime(day, "%Y-%m-%d").date()).cast("timestamp")
 
 
 def unread(df: DataFrame) -> DataFrame:
-    return df.where(~F.array_contains("flags", SEEN))
+    """Messages without the seen flag; one without any flags is unread."""
+    return df.where(~F.coalesce(F.array_contains("flags", SEEN), F.lit(False)))
+
+
+def arrival(df: DataFrame) -> Column:
+    """When a message came in: by the server if it says so, else by the date header."""
+    return F.coalesce("arrived_at", "received_at") if "arrived_at" in df.columns else F.col("received_at")
+
+
+def arrived(df: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Messages that arrived from ``start`` and before ``end``. Those of unknown arrival are kept.
+
+    The condition of :func:`arrival` is spelled out on plain columns, which the reader can use.
+    """
+    def inside(at: Column) -> Column:
+        bounds = [at >= start] * (start is not None) + [at < end] * (end is not None)
+        return bounds[0] & bounds[-1]
+
+    received = F.col("received_at")
+    kept = inside(received) | received.isNull()
+    if "arrived_at" in df.columns:
+        server = F.col("arrived_at")
+        kept = inside(server) | (server.isNull() & kept)
+    return df.where(kept)
 
 
 def date_range(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """Whole days from ``start`` up to but not including ``end``. Both must be given to have an effect."""
     if not (start and end):
         return df
-    return df.where((F.col("received_at") >= _midnight(start)) & (F.col("received_at") < _midnight(end)))
+    return arrived(df, midnight(start), midnight(end))
 
 
 def since_days(df: DataFrame, days: int | Column | None, as_of: Column) -> DataFrame:
@@ -34,7 +56,7 @@ def since_days(df: DataFrame, days: int | Column | None, as_of: Column) -> DataF
     if days is None or (isinstance(days, int) and days == 0):
         return df
     first_day = F.date_sub(F.to_date(as_of), days if isinstance(days, Column) else F.lit(days))
-    return df.where(F.col("received_at") >= first_day.cast("timestamp"))
+    return arrived(df, first_day.cast("timestamp"))
 
 
 def select_messages(df: DataFrame, unread_only: bool = False, days: int | Column | None = None,
@@ -60,12 +82,7 @@ def is_late(received_at: Column, watermark: Column) -> Column:
 
 
 def drop_late(df: DataFrame, watermark: DataFrame) -> DataFrame:
-    """Leave out messages far behind the watermark of their mailbox."""
-    return drop_behind(df, small(watermark))
-
-
-def drop_behind(df: DataFrame, watermark: DataFrame) -> DataFrame:
-    """:func:`drop_late` for a watermark table that was checked before."""
+    """Leave out messages far behind the watermark of their mailbox; undated ones are kept."""
     marks = watermark.select("mailbox", F.col("received_at").alias("_mark"))
     return df.join(marks, "mailbox", "left").where(~is_late(F.col("received_at"), F.col("_mark"))).drop("_mark")
 

@@ -11,23 +11,22 @@ from ..rules import HISTORICAL_LABEL, Settings
 from .classify import classify_rules
 from .filters import date_range, kept_folders
 from .scan import fetch_bodies, headers, newest
-from .senders import sender_status
 from .topics import match_topics
-from .triage import Scorer, with_fallback_body
+from .triage import Scorer, with_fallback_body, with_sender_status
 
 
 def process_historical(df: DataFrame, start: str, end: str, targets: Sequence[str], settings: Settings,
-                       limit: int = 500, classify: Scorer = classify_rules, label: str = HISTORICAL_LABEL) -> DataFrame:
+                       limit: int = 500, classify: Scorer = classify_rules, label: str = HISTORICAL_LABEL,
+                       sender_rules: DataFrame | None = None) -> DataFrame:
     """Judge the newest ``limit`` messages of each folder in a date range and label target categories.
 
     Deciding plays no part. All folders are one job: the messages are chosen on headers alone and only
     then joined with their bodies. A message in several folders is treated in each of them.
     """
-    key = ["mailbox", "source_folder", "uid"]
     in_range = date_range(kept_folders(headers(df)), start, end)
     chosen = newest(in_range, ["mailbox", "source_folder"], limit)
-    judged = classify(with_fallback_body(fetch_bodies(chosen, df, key)))
-    judged = sender_status(match_topics(judged, settings.topics), settings.allow, settings.deny)
+    judged = classify(with_fallback_body(fetch_bodies(chosen, df)))
+    judged = with_sender_status(match_topics(judged, settings.topics), settings, sender_rules)
     targeted = F.col("category").isin(list(targets))
     return judged.withColumn("new_label", F.when(targeted, F.lit(label)))
 

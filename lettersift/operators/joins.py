@@ -1,4 +1,4 @@
-"""Broadcasting behind a check of the actual size."""
+"""Broadcasting behind a bound that the caller vouches for."""
 
 from __future__ import annotations
 
@@ -9,16 +9,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows. Counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def bounded(df: DataFrame, rows: int | None) -> DataFrame:
+    """Mark a table for broadcasting if it has at most ``rows`` rows by construction and those are few.
 
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcasting if it is small enough, else leave the join to Spark.
-
-    Meant for state, rules and header rows that are joined with wide or many rows: without the mark
-    both sides would be shuffled before their sizes are known. The table is computed once more for the
-    count, so it should be cheap next to the other side.
+    Nothing is counted: without a bound the join is left to Spark, which broadcasts by size in bytes.
     """
-    return F.broadcast(df) if fits(df, rows) else df
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df

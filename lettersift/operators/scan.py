@@ -8,25 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import INBOX
-from ..schemas import HEADER_COLUMNS
+from ..schemas import HEADER_COLUMNS, KEY
 from .filters import select_messages
-from .joins import small
-
-# Spark limits groups before its shuffle only for limits up to this size
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-_GROUP_LIMIT = 1000
-_SALTS = 64
+from .joins import bounded
 
 
 def newest(df: DataFrame, by: Sequence[str], n: int, order: str = "uid") -> DataFrame:
     """The ``n`` rows of each group with the highest ``order`` value.
 
-    For small ``n`` Spark cuts each group before the shuffle. For larger ``n`` the rows are first cut
-    within salted parts of a group, so that a group with most of the rows is not sorted by one task.
+    Spark cuts each group in every task before the shuffle, for limits up to its
+    ``windowGroupLimitThreshold``, which ``session`` sets high enough for all limits used here.
     """
-    if n > _GROUP_LIMIT:
-        salted = Window.partitionBy(*by, F.pmod(F.xxhash64(order), F.lit(_SALTS))).orderBy(F.desc(order))
-        df = df.withColumn("_rank", F.row_number().over(salted)).where(F.col("_rank") <= n)
     ranked = Window.partitionBy(*by).orderBy(F.desc(order))
     return df.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= n).drop("_rank")
 
@@ -50,13 +42,13 @@ def scan_headers(df: DataFrame, folder: str = INBOX, **criteria) -> DataFrame:
     return scan_folder(headers(df), folder, **criteria)
 
 
-def fetch_bodies(survivors: DataFrame, bodies: DataFrame, key: Sequence[str] = ("mailbox", "uid")) -> DataFrame:
+def fetch_bodies(survivors: DataFrame, bodies: DataFrame, key: Sequence[str] = KEY, most: int | None = None) -> DataFrame:
     """Join the bodies to headers that survived filtering.
 
-    Few survivors are broadcast, so that the bodies are read where they are and not shuffled.
+    ``most`` says how many survivors there can be; few are broadcast, so that the bodies are not shuffled.
     """
     wide = [c for c in bodies.columns if c in key or c not in survivors.columns]
-    return small(survivors).join(bodies.select(*wide), list(key))
+    return bounded(survivors, most).join(bodies.select(*wide), list(key))
 
 
 def list_folders(df: DataFrame) -> DataFrame:
@@ -64,8 +56,12 @@ def list_folders(df: DataFrame) -> DataFrame:
 
 
 def first_nonempty(df: DataFrame, names: Sequence[str], by: Sequence[str] = ("mailbox",)) -> DataFrame:
-    """Rows of the first folder of ``names`` that has any, per mailbox."""
-    priority = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source_folder"))
-    candidates = df.where(F.col("source_folder").isin(list(names))).withColumn("_priority", priority)
-    best = candidates.groupBy(*by).agg(F.min("_priority").alias("_priority"))
-    return candidates.join(best, [*by, "_priority"]).drop("_priority")
+    """Rows of the first folder of ``names`` that has any, per mailbox.
+
+    The folders a mailbox has are found by a grouping whose rows are few; they are joined back on the mailbox and
+    folder, so that rows meet only one row each.
+    """
+    order = F.array(*[F.lit(n) for n in names])
+    present = df.where(F.col("source_folder").isin(list(names))).groupBy(*by, "source_folder").agg(F.lit(1).alias("_any"))
+    first = present.groupBy(*by).agg(F.min_by("source_folder", F.array_position(order, F.col("source_folder"))).alias("source_folder"))
+    return df.join(first, [*by, "source_folder"], "left_semi")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import body_preview, or_empty
-from .filters import _midnight
+from ..schemas import KEY
+from .filters import arrived, midnight
 from .scan import fetch_bodies, newest
 
 
@@ -15,10 +16,8 @@ def matching(df: DataFrame, sender: str | None = None, subject: str | None = Non
     """Rows that meet all given criteria. Text criteria ignore case; each date bound works on its own."""
     if folder:
         df = df.where(F.col("source_folder") == folder)
-    if from_date:
-        df = df.where(F.col("received_at") >= _midnight(from_date))
-    if to_date:
-        df = df.where(F.col("received_at") < _midnight(to_date))
+    if from_date or to_date:
+        df = arrived(df, midnight(from_date) if from_date else None, midnight(to_date) if to_date else None)
     for column, text in (("from_raw", sender), ("subject", subject)):
         if text:
             df = df.where(F.contains(F.lower(or_empty(F.col(column))), F.lit(text.lower())))
@@ -27,13 +26,12 @@ def matching(df: DataFrame, sender: str | None = None, subject: str | None = Non
 
 def search_messages(df: DataFrame, limit: int = 10, with_body: bool = False, **criteria) -> DataFrame:
     """The newest ``limit`` matches of each folder, with a short body preview on request."""
-    key = ["mailbox", "source_folder", "uid"]
-    columns = [*key, "subject", "from_raw", "date", "flags"]
-    found = newest(matching(df, **criteria).select(*columns), key[:2], limit)
+    columns = [*KEY, "subject", "from_raw", "date", "flags"]
+    found = newest(matching(df, **criteria).select(*columns), KEY[:2], limit)
     if not with_body:
         return found
-    bodies = df.select(*key, body_preview(F.col("body_text")).alias("preview"))
-    return fetch_bodies(found, bodies, key)
+    bodies = df.select(*KEY, body_preview(F.col("body_text")).alias("preview"))
+    return fetch_bodies(found, bodies)
 
 
 def search_counts(df: DataFrame, **criteria) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.headers import sender_domain
 from ..functions.text import or_empty, strip
 from ..rules import normalise_terms
+from ..schemas import KEY
 from .terms import substring_candidates
 
 ALLOWED, DENIED, NEUTRAL = "whitelisted", "blacklisted", "neutral"
@@ -102,9 +103,15 @@ def sender_statuses(senders: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def sender_status_joined(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """:func:`sender_status` for rule tables too large to unroll."""
-    keyed = df.withColumn("sender", address_key(F.col("from_email")))
+    """:func:`sender_status` for rule tables too large to unroll.
+
+    Addresses are matched once each. Messages meet their status by key, so a sender of most messages moves only
+    their keys into one place, where Spark can split them, and never their bodies.
+    """
     statuses = sender_statuses(distinct_senders(df), rules)
-    return keyed.join(statuses, "sender", "left").withColumn(
+    keys = df.select(*KEY, address_key(F.col("from_email")).alias("sender")).distinct()
+    listed_keys = keys.join(statuses, "sender").select(*KEY, "sender", "sender_status")
+    keyed = df.withColumn("sender", address_key(F.col("from_email")))
+    return keyed.join(listed_keys, [*KEY, "sender"], "left").withColumn(
         "sender_status", F.coalesce("sender_status", F.lit(NEUTRAL))
     ).drop("sender")

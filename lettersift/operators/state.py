@@ -17,10 +17,10 @@ def can_advance(df: DataFrame) -> DataFrame:
 
 
 def watermark(df: DataFrame, seq: str = "uid") -> DataFrame:
-    """Newest message of each mailbox; the one processed first wins a tie."""
+    """Newest message of each mailbox; the one processed first wins a tie, before all one without ``seq``."""
     newest = F.max_by(
         F.struct("hash", "date", "subject", "received_at"),
-        F.struct(F.col("received_at"), (-F.col(seq)).alias("_order")),
+        F.struct(F.col("received_at"), F.col(seq).isNull().alias("_kept"), (-F.col(seq)).alias("_order"), F.col("hash")),
     )
     dated = df.where(F.col("received_at").isNotNull())
     return dated.groupBy("mailbox").agg(newest.alias("_newest")).select("mailbox", "_newest.*")
@@ -52,7 +52,7 @@ def advance_state(processed: DataFrame, batch_id: int, marks: DataFrame | None =
     keys = hash_rows(done, batch_id)
     if marks is not None:
         # The mark so far was set first, so it wins ties.
-        dated = dated.unionByName(marks.select(*columns, F.lit(-1).cast("long").alias("_seq")))
+        dated = dated.unionByName(marks.select(*columns, F.lit(None).cast("long").alias("_seq")))
     if recent is not None:
         keys = keys.unionByName(recent.select("mailbox", "hash", "batch_id", "seq"))
     return watermark(dated, "_seq"), recent_hashes(keys)

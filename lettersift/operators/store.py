@@ -26,9 +26,13 @@ def message_records(df: DataFrame, saved_at: Column, state: str = "new") -> Data
     )
 
 
-def classified_log_rows(df: DataFrame, saved_at: Column, state: str = "classified") -> DataFrame:
-    """Log columns of classified messages. The body is cut to 5000 characters before it is sanitised."""
+def classified_log_rows(df: DataFrame, saved_at: Column, state: str = "classified", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Log columns of classified messages, after those to ``keep``.
+
+    The body is cut to 5000 characters before it is sanitised.
+    """
     return df.select(
+        *keep,
         or_empty(F.col("id")).alias("id"), or_empty(F.col("date")).alias("date"),
         sanitize(F.col("from_email")).alias("sender_email"), sanitize(F.col("from_name")).alias("sender_name"),
         sanitize(F.col("subject")).alias("subject"),

@@ -13,48 +13,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .joins import fits, small
 
 _GRAM = 3
 
 
-def _grams(text: Column, keyed: DataFrame) -> Column:
-    """Distinct character sequences of the lengths the terms are keyed by: at most 1, 2 and 3."""
-    lengths = [r[0] for r in keyed.select(F.length("_gram")).distinct().collect()]
-    sizes = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(lengths) or [_GRAM]]
+def _grams(text: Column) -> Column:
+    """Distinct character sequences that a term can be keyed by: of one, two and three characters."""
+    sizes = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, _GRAM + 1)]
     return F.array_distinct(F.concat(*sizes))
 
 
-def _keyed(terms: DataFrame, term: str) -> DataFrame:
-    return terms.withColumn("_gram", F.substring(term, 1, _GRAM))
+def _candidates(texts: DataFrame, key: Sequence[str], pieces: Column, piece: str, terms: DataFrame) -> DataFrame:
+    """Pairs of key and term that share a piece. Only keys and pieces are multiplied, never texts."""
+    return texts.select(*key, F.explode(pieces).alias(piece)).join(terms, piece)
 
 
 def substring_candidates(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
     """Pairs of key and term that may match; each pair once. ``terms`` must not hold empty terms."""
-    keyed = _keyed(terms, term)
-    grams = texts.select(*key, F.explode(_grams(F.col(text), keyed)).alias("_gram"))
-    return grams.join(small(keyed), "_gram").drop("_gram")
-
-
-def _candidates(texts: DataFrame, key: Sequence[str], pieces: Column, piece: str, terms: DataFrame) -> DataFrame:
-    """Rows of ``texts`` joined with the terms that share a piece.
-
-    A small term table is broadcast and meets the texts where they are. With a large one only keys and
-    pieces are shuffled, and the texts are joined to the candidates afterwards.
-    """
-    if fits(terms):
-        return texts.withColumn(piece, F.explode(pieces)).join(F.broadcast(terms), piece)
-    found = texts.select(*key, F.explode(pieces).alias(piece)).join(terms, piece)
-    return found.join(texts, list(key))
+    keyed = terms.withColumn("_gram", F.substring(term, 1, _GRAM))
+    return _candidates(texts, key, _grams(F.col(text)), "_gram", keyed).drop("_gram")
 
 
 def token_hits(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
     """Rows of ``texts`` with each term that is a token of the text."""
-    return _candidates(texts, key, words(F.col(text)), term, terms)
+    return _candidates(texts, key, words(F.col(text)), term, terms).join(texts, list(key))
 
 
 def substring_hits(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
     """Rows of ``texts`` with each term that the text contains."""
-    keyed = _keyed(terms, term)
-    found = _candidates(texts, key, _grams(F.col(text), keyed), "_gram", keyed)
-    return found.where(F.contains(F.col(text), F.col(term))).drop("_gram")
+    found = substring_candidates(texts, key, text, terms, term).join(texts, list(key))
+    return found.where(F.contains(F.col(text), F.col(term)))

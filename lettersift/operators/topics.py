@@ -12,6 +12,7 @@ from ..functions.text import has_word, or_empty, substring_count
 from ..rules import (
     KEYWORD_ANYWHERE, KEYWORD_SUBJECT, PHRASE_BODY, PHRASE_SUBJECT, TOPIC_SCALE, Topic, build_topics,
 )
+from ..schemas import KEY
 from .stage import computed
 from .terms import substring_hits, token_hits
 
@@ -99,7 +100,7 @@ def _topic_score(i: int, topic: Topic) -> Column:
     return _sum(parts)
 
 
-def keyword_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
+def keyword_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Rows ``key, topic, term, score`` for topic keywords that are tokens of a message.
 
     ``terms`` is a table ``(topic, kind, term)`` of any size, joined on the token.
@@ -110,7 +111,7 @@ def keyword_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = ("uid",))
     return found.select(*key, "topic", "term", _keyword_score(F.col("term")).alias("score"))
 
 
-def phrase_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
+def phrase_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Rows ``key, topic, term, score`` for topic phrases contained in a message."""
     texts = with_topic_texts(df).select(*key, "_subject", "_body", "_all")
     phrases = terms.where(F.col("kind") == "phrase").select("topic", "term")
@@ -118,7 +119,7 @@ def phrase_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = ("uid",))
     return found.select(*key, "topic", "term", _phrase_score(F.col("term")).alias("score"))
 
 
-def topic_scores(df: DataFrame, terms: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
+def topic_scores(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Score per message and topic from a term table; only topics that score."""
     hits = keyword_hits(df, terms, key).unionByName(phrase_hits(df, terms, key))
     return hits.groupBy(*key, "topic").agg(F.sum("score").alias("score")).where(F.col("score") > 0)

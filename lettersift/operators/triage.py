@@ -11,7 +11,7 @@ from ..functions.html import body_fallback
 from ..rules import CATEGORIES, Settings
 from .classify import classify_rules
 from .decide import decide, plan_actions
-from .senders import sender_status
+from .senders import sender_status, sender_status_joined
 from .topics import match_topics
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -21,11 +21,18 @@ def with_fallback_body(df: DataFrame) -> DataFrame:
     return df.withColumn("body_text", body_fallback(F.col("body_text"), F.col("body_html"))).drop("body_html")
 
 
-def triage(df: DataFrame, settings: Settings, classify: Scorer = classify_rules) -> DataFrame:
-    """All judgements on each message. Works row by row: nothing is shuffled."""
+def with_sender_status(df: DataFrame, settings: Settings, sender_rules: DataFrame | None = None) -> DataFrame:
+    """Sender status by the lists of the settings, or by a table ``(list, pattern)`` of any size instead."""
+    if sender_rules is not None:
+        return sender_status_joined(df, sender_rules)
+    return sender_status(df, settings.allow, settings.deny)
+
+
+def triage(df: DataFrame, settings: Settings, classify: Scorer = classify_rules, sender_rules: DataFrame | None = None) -> DataFrame:
+    """All judgements on each message. Works row by row; only a table of sender rules needs shuffling."""
     judged = classify(with_fallback_body(df))
     judged = match_topics(judged, settings.topics)
-    judged = sender_status(judged, settings.allow, settings.deny)
+    judged = with_sender_status(judged, settings, sender_rules)
     return plan_actions(decide(judged, settings), settings)
 
 

@@ -1,14 +1,11 @@
 """Fixed schemas of the tables the operators read and write."""
 
-MESSAGE = (
-    "id string, uid long, mailbox string, message_id string, hash string, subject string, from_raw string, "
-    "from_email string, from_name string, to_raw string, date string, received_at timestamp, size long, "
-    "body_text string, body_html string, age_days int, source_folder string, flags array<string>, parse_error string"
-)
-RAW_MESSAGE = "id string, uid long, mailbox string, source_folder string, flags array<string>, raw binary"
+# A uid numbers the messages of one folder of one mailbox only.
+KEY = ("mailbox", "source_folder", "uid")
+
 HEADER_COLUMNS = [
     "uid", "id", "mailbox", "source_folder", "message_id", "subject", "from_raw", "to_raw", "date", "received_at",
-    "size", "flags",
+    "arrived_at", "size", "flags",
 ]
 CLASSIFIED_LOG = (
     "id string, date string, sender_email string, sender_name string, subject string, body_text string, "

@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 TUNING = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Limits per group up to this size are applied in every task before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # Plans with many rule terms are long; keep their descriptions from filling the driver.
     "spark.sql.maxPlanStringLength": "300000",
 }
@@ -54,11 +56,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the folder every executor can reach.
 
-    Only a local session may go without that setting; it gets a temporary folder.
+    Only a session in one local process may go without that setting; it gets a folder of its own, once.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="lettersift-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lettersift/{purpose}-{uuid.uuid4().hex}"

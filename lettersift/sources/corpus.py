@@ -26,6 +26,7 @@ VARIANTS = [
     ('"Quoted, Name" <Mixed.Case@Example.COM>', "K8s\tupdate  notes", ""),
 ]
 EXACT_SUBJECT_VARIANT = 9
+# The settings that the fixtures prescribe.
 SETTINGS = Settings(
     topics=("machine learning", "kubernetes", "family"),
     allow=("*@mycompany.com", "noreply@github.com"),
@@ -43,15 +44,6 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores in a local session, where each table is a single file read by one task.
-
-    On a cluster tables come in many files and are left as they are: no shuffle.
-    """
-    context = df.sparkSession.sparkContext
-    return df.repartition(context.defaultParallelism) if context.master.startswith("local") else df
-
-
 def _variant(part: int) -> Column:
     return F.get(F.array(*[F.lit(v[part]) for v in VARIANTS]), (F.col("doc_id") % len(VARIANTS)).cast("int"))
 
@@ -74,6 +66,8 @@ def _header_columns() -> dict[str, Column]:
         "from_raw": _variant(0),
         "to_raw": F.lit("me@corpus.example.com"),
         "received_at": received,
+        # The server's clock: always set, and not behind where the date header is.
+        "arrived_at": F.timestamp_seconds(F.lit(_START) + doc * (37 * 60)),
         "date": F.coalesce(
             F.concat(F.date_format(received, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")), F.lit("not a date")),
         "source_folder": folder,
@@ -117,10 +111,13 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header_rows(table(spark, sf_dir, "documents"))
 
 
-def messages(spark: SparkSession, sf_dir: str, spread_rows: bool = True) -> DataFrame:
-    """All messages. ``spread_rows=False`` suits queries that do little work per message."""
-    documents = table(spark, sf_dir, "documents")
-    return message_rows(spread(documents) if spread_rows else documents, table(spark, sf_dir, "pages"))
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return message_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+def folder_uids(df: DataFrame) -> DataFrame:
+    """Number the messages of each folder by themselves, as mail servers do: uids repeat between folders."""
+    return df.withColumn("uid", F.floor(F.col("uid") / 5) * 2 + F.col("uid") % 5 % 2)
 
 
 def encoded_word(c: Column) -> Column:

@@ -6,6 +6,8 @@ gives the same tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +26,17 @@ def write_version(df: DataFrame, path: str, version: int, partition_by: tuple[st
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/version={version}")
 
 
-def read_versions(spark: SparkSession, path: str, schema: str, versions: range | None = None) -> DataFrame:
-    """All versions of a table, or the given ones. A table that does not exist yet is empty."""
+def versions_of(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, list[int]]:
+    """A table with its column ``version``, and the versions there are. One that does not exist yet is empty."""
     full = f"{schema}, version bigint"
-    folders = [path] if versions is None else [f"{path}/version={v}" for v in versions]
     try:
-        return spark.read.schema(full).option("basePath", path).parquet(*folders)
+        rows = spark.read.schema(full).option("basePath", path).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], full)
+        return spark.createDataFrame([], full), []
+    found = {int(m[1]) for f in rows.inputFiles() if (m := re.search(r"/version=(\d+)/", f))}
+    return rows, sorted(found)
 
 
 def state_rows(marks: DataFrame, recent: DataFrame) -> DataFrame:
@@ -57,14 +60,19 @@ def latest_state(versions: DataFrame) -> DataFrame:
 def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """State after the last version, or before version ``before``.
 
-    With ``before`` only the versions since the snapshot that precedes it are listed and read.
+    Reads the newest snapshot and the versions after it. If one of these is missing, state would be lost without
+    a sign, so that is an error; only a table that does not exist is empty.
     """
-    if before is None:
-        return latest_state(read_versions(spark, path, STATE))
-    if before == 0:
-        return latest_state(spark.createDataFrame([], f"{STATE}, version bigint"))
-    first = (before - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-    return latest_state(read_versions(spark, path, STATE, range(first, before)))
+    rows, versions = versions_of(spark, path, STATE)
+    end = before if before is not None else (versions[-1] + 1 if versions else 0)
+    if not versions or not end:
+        return latest_state(rows.where(F.lit(False)))
+    snapshots = [v for v in versions if v < end and is_snapshot(v)]
+    first = snapshots[-1] if snapshots else (end - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+    missing = sorted(set(range(first, end)) - set(versions))
+    if missing:
+        raise ValueError(f"state versions {missing} are missing in {path}")
+    return latest_state(rows.where((F.col("version") >= first) & (F.col("version") < end)))
 
 
 def marks_of(state: DataFrame) -> DataFrame:
@@ -77,6 +85,9 @@ def recent_of(state: DataFrame) -> DataFrame:
     return rows.select(*[f.split()[0] for f in RECENT_HASHES.split(", ")])
 
 
-def append_log(df: DataFrame, path: str, day: str = "saved_at") -> None:
-    """Append log rows in folders by day, which retention and date filters can skip."""
-    df.withColumn("saved_date", F.to_date(F.col(day))).write.mode("append").partitionBy("saved_date").parquet(path)
+def write_log(df: DataFrame, path: str, batch_id: int, day: str = "saved_at") -> None:
+    """Write the log rows of a batch in folders by mailbox and day, which reads and retention can skip.
+
+    A batch that is run again replaces its own rows.
+    """
+    write_version(df.withColumn("saved_date", F.to_date(F.col(day))), path, batch_id, ("mailbox", "saved_date"))
