@@ -8,7 +8,10 @@ from .. import rules as R
 from ..functions.headers import as_utc
 from ..functions.model import CATEGORIES
 from ..operators import classify, decide as deciding, history, senders, store, topics, triage as judging
-from ..sources import corpus
+from ..schemas import KEY
+from ..session import shared_dir
+from ..sources import corpus, tables
+from ..streaming import jobs
 from . import sql
 from .registry import query
 
@@ -42,10 +45,11 @@ def classify_rules(spark, sf):
     return _classified(spark, sf).select("uid", "category", "confidence", "method", *_SCORES, "input_text")
 
 
-@query(f"{_JUDGED} SELECT uid, k_transactions AS score_transactions, k_feed AS score_feed, k_promotions AS score_promotions FROM c")
+@query(f"{_JUDGED} SELECT {sql.FOLDER_UID} AS uid, source_folder, k_transactions AS score_transactions, k_feed AS score_feed, k_promotions AS score_promotions FROM c")
 def keyword_scores(spark, sf):
     """The join form; the unrolled form is part of classify_rules."""
-    return classify.keyword_scores_joined(_messages(spark, sf), R.keyword_rules_table(spark)).select("uid", *_SCORES)
+    rows = corpus.folder_uids(_messages(spark, sf))
+    return classify.keyword_scores_joined(rows, R.keyword_rules_table(spark)).select("uid", "source_folder", *_SCORES)
 
 
 @query(f"{sql.MESSAGES}{sql.topics('m')} SELECT uid, len(topics) > 0 AS topic_matched, array_to_string(topics, ',') AS topics, topic_score FROM t")
@@ -55,13 +59,14 @@ def topic_match(spark, sf):
 
 
 _TOPIC_ROWS = " UNION ALL ".join(
-    f"SELECT uid, {sql.lit(t.name)} AS topic, ts{i} AS score FROM t WHERE ts{i} > 0" for i, t in enumerate(sql.TOPICS))
+    f"SELECT {sql.FOLDER_UID} AS uid, source_folder, {sql.lit(t.name)} AS topic, ts{i} AS score FROM t WHERE ts{i} > 0" for i, t in enumerate(sql.TOPICS))
 
 
 @query(f"{sql.MESSAGES}{sql.topics('m')} {_TOPIC_ROWS}")
 def topic_scores(spark, sf):
     """The join form, from a table of terms."""
-    return topics.topic_scores(corpus.messages(spark, sf), R.topic_terms_table(spark, _SETTINGS.topics))
+    scored = topics.topic_scores(corpus.folder_uids(corpus.messages(spark, sf)), R.topic_terms_table(spark, _SETTINGS.topics))
+    return scored.select("uid", "source_folder", "topic", "score")
 
 
 _TOPIC_NAMES = """CASE WHEN doc_id % 50 = 0 THEN ' Machine Learning' WHEN doc_id % 50 = 1 THEN 'Artificial Intelligence'
@@ -104,6 +109,30 @@ def sender_exact(spark, sf):
     return senders.exact_matches(counted.select("sender"), rules).join(counted, "sender").select("list", "sender", "messages")
 
 
+_LARGE_RULES = """large AS (
+    SELECT CASE WHEN doc_id % 2 = 0 THEN 'allow' ELSE 'deny' END AS list, 'user' || doc_id || '.' || k || '@example.com' AS pattern
+    FROM documents, unnest(range(0, 50)) AS t(k)
+    UNION ALL SELECT 'deny', '*@' || split_part(from_email, '@', 2) FROM h WHERE size % 11 = 0
+    UNION ALL SELECT 'allow', from_email FROM h WHERE size % 13 = 0)"""
+
+
+@query(f"""{sql.HEADERS}, {_LARGE_RULES}, hit AS (
+    SELECT from_email, list FROM h JOIN large ON pattern = from_email
+    UNION SELECT from_email, list FROM h JOIN large ON pattern = '*@' || split_part(from_email, '@', 2))
+    SELECT uid, CASE WHEN from_email IN (SELECT from_email FROM hit WHERE list = 'allow') THEN 'whitelisted'
+      WHEN from_email IN (SELECT from_email FROM hit WHERE list = 'deny') THEN 'blacklisted' ELSE 'neutral' END AS sender_status FROM h""")
+def sender_status_joined(spark, sf):
+    """Fifty times as many rules as messages, some of which match."""
+    rows, documents = corpus.headers(spark, sf), corpus.table(spark, sf, "documents")
+    many = documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k")).select(
+        F.when(F.col("doc_id") % 2 == 0, "allow").otherwise("deny").alias("list"),
+        F.concat(F.lit("user"), F.col("doc_id").cast("string"), F.lit("."), F.col("k").cast("string"), F.lit("@example.com")).alias("pattern"))
+    domains = rows.where(F.col("size") % 11 == 0).select(F.lit("deny"), F.concat(F.lit("*@"), F.split_part("from_email", F.lit("@"), F.lit(2))))
+    senders_too = rows.where(F.col("size") % 13 == 0).select(F.lit("allow"), "from_email")
+    rules = R.normalise_rules(many.union(domains).union(senders_too))
+    return senders.sender_status_joined(rows, rules).select("uid", "sender_status")
+
+
 _PATTERNS = {"allow": [*_SETTINGS.allow, "*support@*.com", "*@learn.*"], "deny": [*_SETTINGS.deny, "*shop*", "deals@*", "*a*k*"]}
 
 
@@ -160,15 +189,15 @@ def action_plan(spark, sf):
     return _triaged(spark, sf, _LABELLING).select("uid", "planned_action", "planned_label", "apply")
 
 
-@query(f"""{sql.DECIDED} SELECT uid, CASE WHEN planned_action = 'archive' THEN '[Gmail]/All Mail' ELSE source_folder END AS source_folder,
-    array_to_string(list_sort(CASE WHEN planned_action = 'none' THEN flags ELSE ['\\Seen', '\\Deleted'] END), ',') AS flags,
+@query(f"""{sql.DECIDED} SELECT {sql.FOLDER_UID} AS uid, CASE WHEN planned_action = 'archive' THEN '[Gmail]/All Mail' ELSE source_folder END AS source_folder,
+    array_to_string(list_sort(CASE planned_action WHEN 'none' THEN flags WHEN 'archive' THEN ['\\Seen'] ELSE ['\\Seen', '\\Deleted'] END), ',') AS flags,
     CASE WHEN planned_action = 'move_to_trash' THEN '\\Trash' ELSE '' END AS labels FROM p""")
 def apply_actions(spark, sf):
-    mailbox = corpus.headers(spark, sf).select(
-        "mailbox", "uid", "source_folder", "flags", F.array().cast("array<string>").alias("labels"))
-    after = deciding.apply_actions(mailbox, _triaged(spark, sf, _TRASHING))
+    mailbox = corpus.folder_uids(corpus.headers(spark, sf)).select(
+        *KEY, "flags", F.lit(None).cast("array<string>").alias("labels"))
+    after = deciding.apply_actions(mailbox, corpus.folder_uids(_triaged(spark, sf, _TRASHING)))
     return after.select("uid", "source_folder", F.array_join(F.sort_array("flags"), ",").alias("flags"),
-                        F.array_join("labels", ",").alias("labels"))
+                        F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"))
 
 
 @query(f"""{_JUDGED} SELECT count(*) AS total_emails, {", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in CATEGORIES)} FROM c""")
@@ -190,7 +219,7 @@ def run_stats_windowed(spark, sf):
 
 _HISTORY = f"""{sql.HEADERS}, chosen AS (SELECT uid FROM (
     SELECT uid, row_number() OVER (PARTITION BY mailbox, source_folder ORDER BY uid DESC) AS r FROM h
-    WHERE NOT contains(source_folder, 'Trash') AND received_at >= date '2024-01-05' AND received_at < date '2024-02-01') WHERE r <= 500)"""
+    WHERE NOT contains(source_folder, 'Trash') AND arrived_at >= date '2024-01-05' AND arrived_at < date '2024-02-01') WHERE r <= 500)"""
 _HISTORY_JUDGED = sql.MESSAGES + _HISTORY[len(sql.HEADERS):] + sql.classified("(SELECT * FROM m WHERE uid IN (SELECT uid FROM chosen))")
 
 
@@ -204,6 +233,16 @@ def historical_label(spark, sf):
     return _historical(spark, sf).select("uid", "source_folder", "category", "new_label", "sender_status")
 
 
+@query(f"""{_HISTORY_JUDGED} SELECT uid, source_folder, array_to_string(flags, ',') AS flags,
+    CASE WHEN uid IN (SELECT uid FROM c WHERE category = 'promotions') THEN 'MarkedForDeletion' ELSE '' END AS labels FROM h""")
+def apply_historical_labels(spark, sf):
+    """The labels of a bulk run on the mailbox, in which no message had labels."""
+    mailbox = corpus.headers(spark, sf).select(*KEY, "flags", F.lit(None).cast("array<string>").alias("labels"))
+    after = deciding.apply_actions(mailbox, deciding.label_plan(_historical(spark, sf)))
+    return after.select("uid", "source_folder", F.array_join("flags", ",").alias("flags"),
+                        F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"))
+
+
 @query(f"{_HISTORY_JUDGED} SELECT count(*) AS processed, count(*) FILTER (category = 'promotions') AS labeled FROM c")
 def historical_counts(spark, sf):
     return history.historical_counts(_historical(spark, sf))
@@ -258,3 +297,42 @@ _HASH = hashlib.md5(b"<6@corpus.example.com>").hexdigest()
 @query(f"{sql.HEADERS} SELECT uid, subject, date FROM h WHERE hash = '{_HASH}'")
 def lookup_hash(spark, sf):
     return store.lookup(corpus.headers(spark, sf), _HASH).select("uid", "subject", "date")
+
+
+_RUN_SQL = f"""{sql.MESSAGES}, judged0 AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY uid DESC) AS r FROM m
+      WHERE source_folder = 'INBOX' AND NOT list_contains(flags, '\\Seen') AND arrived_at >= {sql.AS_OF_SQL}::DATE - 60) WHERE r <= 100)
+    {sql.classified("judged0")}"""
+_STARTED, _ENDED = "2024-03-01 00:00:00", "2024-03-01 00:00:12.5"
+
+
+def _run(spark, sf):
+    out = shared_dir(spark, "run")
+    jobs.run_once(corpus.headers(spark, sf), corpus.messages(spark, sf), _SETTINGS, out, 0, corpus.as_of(),
+                  F.lit(_STARTED).cast("timestamp"), F.lit(_ENDED).cast("timestamp"), days=60, mailboxes=2)
+    return out
+
+
+@query(f"""{_RUN_SQL} SELECT id, mailbox, category AS label, confidence, source_folder, 'classified' AS processing_state,
+    epoch_us(TIMESTAMP '{_STARTED}') // 1000000 AS saved, mailbox AS folder FROM c""")
+def run_once(spark, sf):
+    """The log rows of a batch run without earlier state, read from its folders."""
+    log = spark.read.parquet(f"{_run(spark, sf)}/classified_log")
+    return log.select("id", "mailbox", "label", "confidence", "source_folder", "processing_state",
+                      F.unix_timestamp("saved_at").alias("saved"), F.col("mailbox").alias("folder"))
+
+
+@query(f"""{_RUN_SQL} SELECT epoch_us(TIMESTAMP '{_STARTED}') // 1000000 AS started, 12.5::DOUBLE AS duration_seconds, count(*) AS total_emails,
+    {", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in CATEGORIES)} FROM c""")
+def run_log(spark, sf):
+    record = spark.read.parquet(f"{_run(spark, sf)}/run_stats")
+    return record.select(F.unix_timestamp("timestamp").alias("started"), "duration_seconds", "total_emails", *CATEGORIES)
+
+
+@query(f"{sql.HEADERS} SELECT uid FROM h WHERE received_at >= {sql.AS_OF_SQL} - INTERVAL 50 DAY")
+def retention_partitioned(spark, sf):
+    """Retention on a log in folders by mailbox and day."""
+    path = shared_dir(spark, "log")
+    saved = corpus.headers(spark, sf).select("uid", "mailbox", F.col("received_at").alias("saved_at"))
+    tables.write_log(saved.repartition("mailbox", F.to_date("saved_at")), path, 0)
+    return store.retention(spark.read.parquet(path), 50, corpus.as_of()).select("uid")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.headers import age_days as age
 from ..operators import classify, filters, ingest, scan, search, topics
 from ..rules import default_keyword_rules, topic_terms_table
+from ..schemas import KEY
 from ..sources import corpus
 from . import sql
 from .registry import query
@@ -12,13 +13,13 @@ from .state import earlier_state
 
 _FOLDER_SQL = f"""
   source_folder = 'INBOX' AND NOT list_contains(flags, '\\Seen')
-  AND received_at >= date '2024-01-03' AND received_at < date '2024-02-20'"""
+  AND arrived_at >= date '2024-01-03' AND arrived_at < date '2024-02-20'"""
 
 
 @query(f"""{sql.MESSAGES} SELECT uid, subject, from_email, md5(body_text) AS body_md5 FROM m
     WHERE {_FOLDER_SQL} ORDER BY uid DESC LIMIT 100""")
 def scan_folder(spark, sf):
-    found = scan.scan_folder(corpus.messages(spark, sf, spread_rows=False), unread_only=True, start="2024-01-03", end="2024-02-20")
+    found = scan.scan_folder(corpus.messages(spark, sf), unread_only=True, start="2024-01-03", end="2024-02-20")
     body = F.md5(_body())
     return found.select("uid", "subject", "from_email", body.alias("body_md5"))
 
@@ -30,19 +31,19 @@ def _body():
 
 
 @query(f"""{sql.HEADERS} SELECT uid, message_id, subject, from_raw, to_raw, date, size FROM h
-    WHERE source_folder = '[Gmail]/All Mail' AND received_at >= {sql.AS_OF_SQL}::DATE - 60 ORDER BY uid DESC LIMIT 100""")
+    WHERE source_folder = '[Gmail]/All Mail' AND arrived_at >= {sql.AS_OF_SQL}::DATE - 60 ORDER BY uid DESC LIMIT 100""")
 def scan_headers(spark, sf):
     found = scan.scan_headers(corpus.headers(spark, sf), "[Gmail]/All Mail", days=60, as_of=corpus.as_of())
     return found.select("uid", "message_id", "subject", "from_raw", "to_raw", "date", "size")
 
 
-@query(f"""{sql.MESSAGES}{sql.STATE} SELECT m.uid, m.subject, md5(m.body_text) AS body_md5 FROM m
+@query(f"""{sql.MESSAGES}{sql.STATE} SELECT {sql.FOLDER_UID} AS uid, m.source_folder, m.subject, md5(m.body_text) AS body_md5 FROM m
     WHERE NOT list_contains(flags, '\\Seen') AND (mailbox, hash) NOT IN (SELECT mailbox, hash FROM seen)""")
 def late_materialize(spark, sf):
     marks, recent = earlier_state(spark, sf)
-    fresh = ingest.new_messages(filters.unread(corpus.headers(spark, sf)), recent, marks)
-    key = fresh.select("mailbox", "uid")
-    return scan.fetch_bodies(key, corpus.messages(spark, sf, spread_rows=False)).select("uid", "subject", F.md5(_body()).alias("body_md5"))
+    fresh = ingest.new_messages(filters.unread(corpus.folder_uids(corpus.headers(spark, sf))), recent, marks)
+    found = scan.fetch_bodies(fresh.select(*KEY), corpus.folder_uids(corpus.messages(spark, sf)))
+    return found.select("uid", "source_folder", "subject", F.md5(_body()).alias("body_md5"))
 
 
 @query(f"{sql.HEADERS} SELECT DISTINCT source_folder FROM h")
@@ -62,12 +63,12 @@ def filter_unread(spark, sf):
     return filters.unread(corpus.headers(spark, sf)).select("uid")
 
 
-@query(f"{sql.HEADERS} SELECT uid FROM h WHERE received_at >= date '2024-01-05' AND received_at < date '2024-01-20'")
+@query(f"{sql.HEADERS} SELECT uid FROM h WHERE arrived_at >= date '2024-01-05' AND arrived_at < date '2024-01-20'")
 def filter_date_range(spark, sf):
     return filters.date_range(corpus.headers(spark, sf), "2024-01-05", "2024-01-20").select("uid")
 
 
-@query(f"{sql.HEADERS} SELECT uid FROM h WHERE received_at >= {sql.AS_OF_SQL}::DATE - 45")
+@query(f"{sql.HEADERS} SELECT uid FROM h WHERE arrived_at >= {sql.AS_OF_SQL}::DATE - 45")
 def filter_since_days(spark, sf):
     return filters.since_days(corpus.headers(spark, sf), 45, corpus.as_of()).select("uid")
 
@@ -85,14 +86,14 @@ def drop_late(spark, sf):
     return filters.drop_late(corpus.headers(spark, sf), marks).select("uid")
 
 
-_SEARCH_SQL = "contains(lower(subject), 'sale') AND contains(lower(from_raw), 'shop') AND received_at >= date '2024-01-04'"
+_SEARCH_SQL = "contains(lower(subject), 'sale') AND contains(lower(from_raw), 'shop') AND arrived_at >= date '2024-01-04'"
 _SEARCH = {"subject": "SALE", "sender": "Shop", "from_date": "2024-01-04"}
 
 
 @query(f"""{sql.MESSAGES} SELECT uid, source_folder, subject, date, replace(replace(substr(raw_text, 1, 200), chr(13), ''), chr(10), ' ') AS preview
     FROM (SELECT *, row_number() OVER (PARTITION BY mailbox, source_folder ORDER BY uid DESC) AS r FROM m WHERE {_SEARCH_SQL}) WHERE r <= 10""")
 def search_messages(spark, sf):
-    found = search.search_messages(corpus.messages(spark, sf, spread_rows=False), with_body=True, **_SEARCH)
+    found = search.search_messages(corpus.messages(spark, sf), with_body=True, **_SEARCH)
     return found.select("uid", "source_folder", "subject", "date", "preview")
 
 
@@ -140,12 +141,22 @@ def _topic_hits_sql(kind: str) -> str:
 
 @query(_topic_hits_sql("keyword"))
 def topic_keyword_hits(spark, sf):
-    return topics.keyword_hits(corpus.messages(spark, sf), topic_terms_table(spark, corpus.SETTINGS.topics))
+    hits = topics.keyword_hits(corpus.messages(spark, sf), topic_terms_table(spark, corpus.SETTINGS.topics))
+    return hits.select("uid", "topic", "term", "score")
 
 
 @query(_topic_hits_sql("phrase"))
 def topic_phrase_hits(spark, sf):
-    return topics.phrase_hits(corpus.messages(spark, sf), topic_terms_table(spark, corpus.SETTINGS.topics))
+    hits = topics.phrase_hits(corpus.messages(spark, sf), topic_terms_table(spark, corpus.SETTINGS.topics))
+    return hits.select("uid", "topic", "term", "score")
+
+
+@query(f"{sql.MESSAGES}{sql.classified()} SELECT uid, category FROM c WHERE category IN ('transactions', 'feed')")
+def filter_categories(spark, sf):
+    from ..operators.triage import with_fallback_body
+
+    judged = classify.classify_rules(with_fallback_body(corpus.messages(spark, sf)))
+    return filters.in_categories(judged, ["transactions", "feed"]).select("uid", "category")
 
 
 @query(f"""{sql.HEADERS} SELECT uid, mailbox, source_folder FROM (

@@ -63,6 +63,8 @@ def name(c: str) -> str:
     )
 
 
+# A uid as ``corpus.folder_uids`` numbers it.
+FOLDER_UID = "(uid // 5 * 2 + uid % 5 % 2)"
 _V = "(doc_id % 10 + 1)"
 AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
 
@@ -78,6 +80,7 @@ WITH h0 AS (
     'me@corpus.example.com' AS to_raw,
     CASE WHEN doc_id % 101 <> 50 THEN make_timestamp(
       (1704067200 + doc_id * 2220 - CASE WHEN doc_id % 11 = 3 THEN 345600 ELSE 0 END) * 1000000) END AS received_at,
+    make_timestamp((1704067200 + doc_id * 2220) * 1000000) AS arrived_at,
     CASE WHEN doc_id % 5 < 2 THEN 'INBOX' WHEN doc_id % 5 < 4 THEN '[Gmail]/All Mail' ELSE '[Gmail]/Trash' END AS source_folder,
     CASE WHEN doc_id % 3 = 0 THEN ['\\Seen'] ELSE []::VARCHAR[] END AS flags,
     n_chars AS size, (n_chars % 3)::INTEGER AS attachment_count, text
@@ -206,3 +209,7 @@ seen AS (SELECT mailbox, hash FROM recent UNION SELECT mailbox, hash FROM marks)
 def days_between(later: str, earlier: str) -> str:
     return f"floor((epoch_us({later}) - epoch_us({earlier})) / 86400000000.0)::INTEGER"
 
+
+# The text a classifier is trained on.
+TRAINING_TEXT = """'[SUBJECT] ' || subject || ' [SENDER] ' ||
+    CASE WHEN from_name <> '' THEN from_name || ' <' || from_email || '>' ELSE from_email END || ' [BODY] ' || substr(body_text, 1, 1000)"""

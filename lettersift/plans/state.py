@@ -89,19 +89,20 @@ found AS (
     SELECT h.*, mark, row_number() OVER (PARTITION BY h.mailbox ORDER BY uid DESC) AS r
     FROM h LEFT JOIN starts s ON s.mailbox = h.mailbox
     WHERE source_folder = 'INBOX' AND NOT list_contains(flags, '\\Seen')
-      AND received_at >= {sql.AS_OF_SQL}::DATE - coalesce(days, 7)) WHERE r <= 100),
+      AND arrived_at >= {sql.AS_OF_SQL}::DATE - coalesce(days, 7)) WHERE r <= 100),
 judged AS (
   SELECT *, (mailbox, hash) IN (SELECT mailbox, hash FROM seen) AS processed,
     coalesce({sql.days_between('mark', 'received_at')} > 2, false) AS late FROM found)"""
 
 
-@query(f"""{sql.MESSAGES}{sql.STATE}{_FOUND} SELECT j.uid, j.mailbox, j.subject, md5(m.body_text) AS body_md5
+@query(f"""{sql.MESSAGES}{sql.STATE}{_FOUND} SELECT {sql.FOLDER_UID} AS uid, j.mailbox, j.subject, md5(m.body_text) AS body_md5
     FROM judged j JOIN m USING (uid) WHERE NOT processed AND NOT late""")
 def ingest_new(spark, sf):
     from ..operators.triage import with_fallback_body
 
     marks, recent = earlier_state(spark, sf)
-    fresh = ingest.ingest_new(corpus.headers(spark, sf), corpus.messages(spark, sf, spread_rows=False), recent, marks, corpus.as_of())
+    rows, bodies = corpus.folder_uids(corpus.headers(spark, sf)), corpus.folder_uids(corpus.messages(spark, sf))
+    fresh = ingest.ingest_new(rows, bodies, recent, marks, corpus.as_of(), mailboxes=2)
     return with_fallback_body(fresh).select("uid", "mailbox", "subject", F.md5("body_text").alias("body_md5"))
 
 
@@ -114,13 +115,13 @@ def ingest_counters(spark, sf):
 
 @query(f"""{sql.HEADERS}{sql.STATE} SELECT uid, {sql.days_between(sql.AS_OF_SQL, 'x.received_at')} + 1 AS days
     FROM h JOIN marks x USING (mailbox)
-    WHERE h.received_at >= {sql.AS_OF_SQL}::DATE - ({sql.days_between(sql.AS_OF_SQL, 'x.received_at')} + 1)""")
+    WHERE h.arrived_at >= {sql.AS_OF_SQL}::DATE - ({sql.days_between(sql.AS_OF_SQL, 'x.received_at')} + 1)""")
 def incremental_since(spark, sf):
     marks, _ = earlier_state(spark, sf)
     as_of = corpus.as_of()
     starts = marks.select("mailbox", ingest.look_back(F.col("received_at"), as_of).alias("days"))
     since = F.date_sub(F.to_date(as_of), F.col("days")).cast("timestamp")
-    return corpus.headers(spark, sf).join(starts, "mailbox").where(F.col("received_at") >= since).select("uid", "days")
+    return corpus.headers(spark, sf).join(starts, "mailbox").where(F.col("arrived_at") >= since).select("uid", "days")
 
 
 @query(f"""{sql.HEADERS} SELECT uid FROM h WHERE source_folder = '[Gmail]/All Mail'

@@ -13,7 +13,7 @@ def message_stream(spark, sf):
     """The documents as a stream of messages, joined with the pages as a static table."""
     schema = corpus.table(spark, sf, "documents").schema
     documents = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*")
-    return corpus.message_rows(corpus.spread(documents), corpus.table(spark, sf, "pages"))
+    return corpus.message_rows(documents, corpus.table(spark, sf, "pages"))
 
 
 @query(f"""{sql.DECIDED} SELECT uid, category, confidence, array_to_string(topics, ',') AS topics, sender_status, planned_action FROM p""")
@@ -26,9 +26,10 @@ def stream_triage(spark, sf):
         "uid", "category", "confidence", F.array_join("topics", ",").alias("topics"), "sender_status", "planned_action")
 
 
-@query(f"{sql.HEADERS} SELECT DISTINCT mailbox, hash FROM h WHERE received_at IS NOT NULL")
+@query(f"""{sql.HEADERS} SELECT DISTINCT mailbox, hash FROM h WHERE received_at IS NOT NULL
+    UNION ALL SELECT mailbox, hash FROM h WHERE received_at IS NULL""")
 def stream_dedup(spark, sf):
-    """The first message of each key, removed from repeats by a stream."""
+    """The first message of each key, removed from repeats by a stream; undated ones pass."""
     out = shared_dir(spark, "dedup")
     rows = jobs.dedup_stream(message_stream(spark, sf).drop("body_text", "body_html"))
     run = (

@@ -49,7 +49,7 @@ def decode_header(spark, sf):
 
 @query("SELECT page_id, " + sql.html_text("html") + " AS text FROM pages")
 def html_to_text(spark, sf):
-    return corpus.spread(corpus.table(spark, sf, "pages")).select("page_id", html.html_to_text(F.col("html")).alias("text"))
+    return corpus.table(spark, sf, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
 @query(f"{sql.MESSAGES} SELECT uid, md5(body_text) AS body_md5, length(body_text) AS chars FROM m")
@@ -61,14 +61,14 @@ def body_fallback(spark, sf):
 @query(f"SELECT doc_id, md5({sql.sanitize('text')}) AS text_md5, length({sql.sanitize('text')}) AS chars FROM documents")
 def sanitize(spark, sf):
     clean = text.sanitize(F.col("text"))
-    rows = corpus.spread(corpus.table(spark, sf, "documents")).select("doc_id", clean.alias("clean"))
+    rows = corpus.table(spark, sf, "documents").select("doc_id", clean.alias("clean"))
     return rows.select("doc_id", *_columns(text_md5=F.md5("clean"), chars=F.length("clean").cast("long")))
 
 
 @query(f"""SELECT doc_id, len(w) AS words, md5(array_to_string(list_sort(w), ' ')) AS words_md5 FROM (
     SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{sql.WORD}+')) AS w FROM documents)""")
 def tokenize(spark, sf):
-    rows = corpus.spread(corpus.table(spark, sf, "documents")).select("doc_id", text.words(F.col("text")).alias("w"))
+    rows = corpus.table(spark, sf, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
     return rows.select("doc_id", *_columns(
         words=F.size("w").cast("long"), words_md5=F.md5(F.array_join(F.array_sort("w"), " "))))
 
@@ -76,7 +76,7 @@ def tokenize(spark, sf):
 @query(f"SELECT doc_id, {sql.count_of('lower(text)', 'th')} AS n FROM documents")
 def substring_count(spark, sf):
     counted = text.substring_count(F.lower("text"), F.lit("th")).cast("long")
-    return corpus.spread(corpus.table(spark, sf, "documents")).select("doc_id", counted.alias("n"))
+    return corpus.table(spark, sf, "documents").select("doc_id", counted.alias("n"))
 
 
 @query("SELECT conv_id, turn, replace(replace(substr(text, 1, 200), chr(13), ''), chr(10), ' ') AS preview FROM conversations")

