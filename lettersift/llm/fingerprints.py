@@ -24,6 +24,7 @@ SAMPLES = 64
 WIDTH = 2
 # Terms that are evaluated together: 64 samples of them take some 50 MB.
 BLOCK = 32_768
+_PART = 1024
 _U = np.uint64
 
 
@@ -39,23 +40,35 @@ def weighted_terms(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, np
     return np.unique(total, return_counts=True)
 
 
-def _uniforms(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers in (0, 1) of each 64-bit seed."""
-    bits = _mix(seeds)
-    high, low = (bits >> _U(32)).astype(np.float64), (bits & _U(0xFFFFFFFF)).astype(np.float64)
-    return (high + 0.5) * 2.0**-32, (low + 0.5) * 2.0**-32
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) of the upper 23 of 32 bits, which a single-precision number holds exactly."""
+    return ((bits >> np.uint32(9)).view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
 
 
 def draw(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithm of each term's value and its weight step, by term and sample."""
+    """Logarithm of each term's value and its weight step, by term and sample, in single precision."""
     seeds = terms[:, None] + (np.arange(1, samples + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[None, :]
-    a, b = _uniforms(seeds)
-    scale = -np.log(a * b)  # gamma with shape 2
-    a, b = _uniforms(seeds ^ _U(0xA5A5A5A5A5A5A5A5))
-    level = np.log(-np.log(a * b))
-    shift = _uniforms(seeds ^ _U(0x3C3C3C3C3C3C3C3C))[0]
-    step = np.floor(np.log(weights)[:, None] / scale + shift)
-    return level - scale * (step - shift + 1), step.astype(np.int64)
+    first = _mix(seeds)
+    second = first * _U(0xD1342543DE82EF95)
+    second ^= second >> _U(29)
+    one, two = (x.view(np.uint32).reshape(*x.shape, 2) for x in (first, second))
+    scale = -np.log(_unit(one[..., 1]) * _unit(one[..., 0]))  # gamma with shape 2
+    level = np.log(-np.log(_unit(two[..., 1]) * _unit(two[..., 0])))  # logarithm of another
+    # The bits that the others left.
+    low = ((one[..., 1] & np.uint32(511)) << np.uint32(9)) | (one[..., 0] & np.uint32(511))
+    shift = (low.view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-18)
+    step = np.zeros(first.shape, np.float32)  # that of weight 1
+    many = np.flatnonzero(weights > 1)
+    if len(many):
+        step[many] = np.floor(np.log(weights[many]).astype(np.float32)[:, None] / scale[many] + shift[many])
+    return level - scale * (step - shift + np.float32(1)), step
+
+
+def _ranked(values: np.ndarray, first: int) -> np.ndarray:
+    """Values as whole numbers of the same order, with the row in the lower half: the least names its row."""
+    bits = values.view(np.uint32)
+    order = bits ^ ((bits.view(np.int32) >> 31).view(np.uint32) | np.uint32(1 << 31))
+    return (order.astype(_U) << _U(32)) | np.arange(first, first + len(values), dtype=_U)[:, None]
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], samples: int = SAMPLES) -> np.ndarray:
@@ -63,31 +76,37 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], samples: int = SAMPLES
 
     Equal terms of equal weight are evaluated once. Sets of any size pass in blocks.
     """
-    result = np.zeros((len(bags), samples), np.uint32)
-    best = np.full((len(bags), samples), np.inf)
     sizes = [len(t) for t, _ in bags]
     if not sum(sizes):
-        return result
+        return np.zeros((len(bags), samples), np.uint32)
     terms, weights = np.concatenate([t for t, _ in bags]), np.concatenate([w for _, w in bags])
-    pairs = _mix(terms + _mix(weights.astype(_U)))
-    _, first, place = np.unique(pairs, return_index=True, return_inverse=True)
-    ends = np.cumsum(sizes)
+    _, first, place = np.unique(_mix(terms + _mix(weights.astype(_U))), return_index=True, return_inverse=True)
+    terms, weights = terms[first], weights[first]
+    ends, each = np.cumsum(sizes), np.arange(samples)
+    best = np.full((len(bags), samples), ~_U(0))
+    steps = np.zeros((len(bags), samples), np.float32)
     for low in range(0, len(first), BLOCK):
-        chosen = first[low:low + BLOCK]
-        value, step = draw(terms[chosen], weights[chosen], samples)
-        code = (_mix(terms[chosen][:, None] + _mix(step.astype(_U))) >> _U(32)).astype(np.uint32)
+        high = min(low + BLOCK, len(first))
+        ranked, step = np.empty((high - low, samples), _U), np.empty((high - low, samples), np.float32)
+        for part in range(low, high, _PART):  # stays in the cache
+            rows = slice(part, min(part + _PART, high))
+            value, step[rows.start - low:rows.stop - low] = draw(terms[rows], weights[rows], samples)
+            ranked[rows.start - low:rows.stop - low] = _ranked(value, part)
         for i, (end, size) in enumerate(zip(ends, sizes, strict=True)):
             own = place[end - size:end]
             if len(first) > BLOCK:
-                own = own[(own >= low) & (own < low + BLOCK)] - low
+                own = own[(own >= low) & (own < high)]
             if not len(own):
                 continue
-            rows = value[own]
-            least = rows.argmin(axis=0)
-            lowest = rows[least, np.arange(samples)]
-            better = lowest < best[i]
-            best[i][better] = lowest[better]
-            result[i][better] = code[own[least], np.arange(samples)][better]
+            least = ranked[own - low].min(axis=0)
+            better = least < best[i]
+            best[i][better] = least[better]
+            winner = (least & _U(0xFFFFFFFF)).astype(np.intp) - low
+            steps[i][better] = step[winner, each][better]
+    filled = np.array(sizes) > 0
+    result = np.zeros((len(bags), samples), np.uint32)
+    winners = terms[(best[filled] & _U(0xFFFFFFFF)).astype(np.intp)]
+    result[filled] = _mix(winners + _mix(steps[filled].astype(np.int64).view(_U))) >> _U(32)
     return result
 
 
