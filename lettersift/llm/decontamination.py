@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fits, free_name, small_side, with_row_id
+from .common import ascii_lower, fits, free_name, saved, small_side, with_row_id
 
 # Fixed value: what separates words once A-Z are lower-cased. All characters above 127 belong to words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,7 +116,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
     key, hits, gone = (free_name(docs, name) for name in ("_key", "_hits", "_gone"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     found = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), items, n).where("contaminated")
-    dirty = found.select(F.col("doc_id").alias(key), F.col("hits").alias(hits)).dropDuplicates([key])
+    # Written once: the join first counts it.
+    dirty = saved(found.select(F.col("doc_id").alias(key), F.col("hits").alias(hits)).dropDuplicates([key]), "dirty")
     if remove == "documents":
         return keyed.join(small_side(dirty.select(key), BROADCAST_DOCUMENTS), key, "left_anti").drop(key)
     text = F.col("text").cast("string")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, small_side, with_row_id
+from .common import free_name, saved, small_side, with_row_id
 
 # The base patterns in the order in which spans of equal start are listed, and what a match must be.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -135,7 +135,8 @@ def redact(docs: DataFrame, allow: tuple[str, ...] = ALLOW, mask: str = MASK) ->
     key, spans = (free_name(docs, name) for name in ("_key", "_spans"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     found = scan_secrets(keyed.select(F.col(key).alias("doc_id"), "text"), allow).where(F.size("spans") > 0)
-    found = found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
+    # Written once: the join first counts it.
+    found = saved(found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(key), F.col("spans").alias(spans)), "secrets")
     text = F.col("text").cast("string")
 
     def cut(s, span):
