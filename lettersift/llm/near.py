@@ -6,8 +6,9 @@ a shared rare or small shingle, a tile is not met by texts that only share a pas
 clusters (connected components, by identifiers alone), and only clusters are compared: pairs of compatible sizes,
 first by hashed bitmaps, whose differing bits bound the intersection from above, then by the sorted arrays.
 
-Hot groups. Copies have the same set digest and count as one. Tiles that many sets share are left out wherever a set
-has enough others, so that a common passage ties nothing together. Clusters that are too large for one task are compared in blocks, and afterwards only the
+Hot groups. Copies have the same set digest and count as one. Sets that share too few tiles to be alike are no
+candidates, and tiles that many sets share are left out wherever a set has enough others, so that a common passage ties
+nothing together. Clusters that are too large for one task are compared in blocks, and afterwards only the
 documents outside the largest group so found with all others, so a group of near copies costs little more than
 one pass. No pair between different groups is left uncompared, hence no group is split.
 
@@ -140,10 +141,12 @@ def _sizes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """Links ``(a, b)`` between digests that share a tile: each one with the smallest of the tile.
+    """Links ``(a, b)`` between digests that share enough tiles.
 
-    A tile that many sets have tells little: it holds nothing but a passage that all of them share. A set needs such
-    tiles only if there are so many of them that they may be all it shares with a partner.
+    Linked sets share all tiles of a band but those that their differences touch: at least ``spare``. Sets that only
+    have a passage in common share few. So pairs are counted within the tiles of at most ``HOT_TILE`` sets. A tile of more
+    sets tells little where it holds nothing but a common passage; a set needs such tiles only if it has so many that
+    they may be all it shares with a partner, as in a group of copies. There each set is tied to the tile's smallest.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +171,19 @@ def _candidates(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     # Copies in several batches repeat rows.
     met = saved(met.select("tile", "digest", "place", (F.col("n") > HOT_TILE).alias("hot")).distinct(), "tiles")
     hot = F.sum(F.col("hot").cast("int")).over(Window.partitionBy("digest", "place"))
-    telling = met.withColumn("all_hot", hot).where(~F.col("hot") | (F.col("all_hot") >= F.col("place") % SPARE))
-    linked = telling.withColumn("b", F.min("digest").over(of_tile)).where("b != digest")
-    return linked.select(F.col("digest").alias("a"), "b").distinct()
+    spare = F.col("place") % SPARE
+    met = met.withColumn("all_hot", hot)
+    # Pairs of few sets: what a set shares beyond its hot tiles must be among the others.
+    need = F.greatest(F.lit(1), spare - F.col("all_hot"))
+    few = met.where(~F.col("hot")).groupBy("tile").agg(
+        F.array_sort(F.collect_list(F.struct("digest", F.floor(F.col("place") / SPARE).alias("band"), need.alias("need")))).alias("sets"))
+    pairs = F.flatten(F.transform("sets", lambda x, i: F.transform(
+        F.slice("sets", i + 2, HOT_TILE), lambda y: F.struct(
+            y.digest.alias("a"), x.digest.alias("b"), x.band.alias("band"), F.greatest(x.need, y.need).alias("need")))))
+    counted = few.select(F.inline(pairs)).groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    alike = counted.where("n >= need").select("a", "b")
+    kept = met.where(F.col("hot") & (F.col("all_hot") >= spare)).withColumn("b", F.min("digest").over(of_tile))
+    return alike.union(kept.where("b != digest").select(F.col("digest").alias("a"), "b")).distinct()
 
 
 def _sets(docs: DataFrame, placed: DataFrame, width: int) -> DataFrame:
@@ -264,8 +277,8 @@ def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int)
     blocks = F.when(F.col("digest") == F.col("cluster"), every_block).otherwise(F.array(block))
     tiles = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(-1).alias("block"), together.alias("key")))).otherwise(
         F.transform(blocks, lambda b: F.struct(b.alias("block"), F.col("cluster").alias("key"))))
-    first = _sets(docs, rows.select("doc_id", "digest", "cluster", tiles.alias("tiles")), width).select(
-        F.explode("tiles").alias("tile"), "digest", "cluster", F.col("digest").alias("known"), F.lit(True).alias("probe"), "shingles")
+    first = _sets(docs, rows.select("doc_id", "digest", "cluster", "blocks"), width).select(
+        F.explode(tiles).alias("tile"), "digest", "cluster", F.col("digest").alias("known"), F.lit(True).alias("probe"), "shingles")
     links = saved(_compare(first, num, den), "near")
     if not large.take(1):
         return links
@@ -287,8 +300,8 @@ def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int)
     met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: place(c, block, False))
     probes = F.transform(every_block, lambda b: place(chunk, b, True))
     tiles = F.when(F.col("outer"), F.concat(met, probes)).otherwise(met)
-    second = _sets(docs, rows.select("doc_id", "digest", "cluster", "known", tiles.alias("tiles")), width).select(
-        "digest", "cluster", "known", "shingles", F.inline("tiles")).select(
+    second = _sets(docs, rows.select("doc_id", "digest", "cluster", "known", "chunks", "blocks", "outer"), width).select(
+        "digest", "cluster", "known", "shingles", F.inline(tiles)).select(
         F.struct("cluster", "chunk", "block").alias("tile"), "digest", "cluster", "known", "probe", "shingles")
     return links.union(saved(_compare(second, num, den), "near")).union(
         in_large.where("digest != known").select(F.col("digest").alias("a"), F.col("known").alias("b")))
