@@ -140,6 +140,34 @@ def test_chains_are_best_and_alignments_count_pairs():
         assert repeats.aligned(a, b) == table[12][9]
 
 
+def test_alignments_name_the_pairs_they_count():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(25))] for _ in range(2))
+        found = repeats.paired(a, b)
+        assert len(found) == repeats.aligned(a, b) and all(a[i] == b[j] for i, j in found)
+        assert all(p < r and q < s for (p, q), (r, s) in zip(found, found[1:], strict=False))
+
+
+def test_passages_of_one_pair_are_judged_by_themselves(docs_of):
+    rng = random.Random(8)
+    words = lambda n: [f"z{rng.randrange(10**7)}" for _ in range(n)]
+    one, two, copied, stray = words(60), words(60), words(500), words(5)
+    texts = {
+        1: words(20) + one + words(100) + two + words(30), 2: words(10) + one + words(100) + two + words(5),
+        3: copied, 4: copied[:250] + words(300) + copied[250:],
+        5: words(10) + stray + words(35) + one[::-1], 6: words(12) + stray + words(35) + one[::-1] + words(9),
+    }
+    got = {}
+    for r in repeats.repeated_passages(docs_of([(i, " ".join(w)) for i, w in texts.items()])).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.source_id, r.source_start, r.identity))
+    assert {i: sorted(rows) for i, rows in got.items()} == {
+        2: [(10, 70, 1, 20, 1.0), (170, 230, 1, 180, 1.0)],
+        4: [(0, 250, 3, 0, 1.0), (550, 800, 3, 250, 1.0)],
+        6: [(52, 112, 5, 50, 1.0)],
+    }
+
+
 def scores(rows, labels, name):
     test = [(r.score, r.predicted, labels[r.doc_id][name]) for r in rows if r.held_out and r.doc_id in labels]
     caught = np.mean([p for _, p, y in test if y == 1])
