@@ -168,6 +168,19 @@ def test_passages_of_one_pair_are_judged_by_themselves(docs_of):
     }
 
 
+def test_a_passage_counts_at_each_of_its_places(docs_of):
+    rng = random.Random(9)
+    words = lambda n: [f"z{rng.randrange(10**7)}" for _ in range(n)]
+    passage = words(60)
+    twice = lambda: words(10) + passage + words(30) + passage + words(5)
+    texts = [words(20) + passage, twice(), words(40), twice()]
+    docs = docs_of([" ".join(t) for t in texts])
+    for parts in (1, 4):
+        got = repeats.repeated_passages(docs.repartition(parts, "doc_id")).collect()
+        assert sorted((r.doc_id, r.start, r.end, r.source_id) for r in got) == [
+            (1, 10, 70, 0), (1, 100, 160, 0), (3, 10, 70, 0), (3, 100, 160, 0)]
+
+
 def scores(rows, labels, name):
     test = [(r.score, r.predicted, labels[r.doc_id][name]) for r in rows if r.held_out and r.doc_id in labels]
     caught = np.mean([p for _, p, y in test if y == 1])
