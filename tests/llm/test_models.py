@@ -181,6 +181,39 @@ def test_a_passage_counts_at_each_of_its_places(docs_of):
             (1, 10, 70, 0), (1, 100, 160, 0), (3, 10, 70, 0), (3, 100, 160, 0)]
 
 
+def test_a_phrase_of_an_earlier_document_loses_no_passage(docs_of):
+    rng = random.Random(10)
+    words = lambda n: [f"z{rng.randrange(10**7)}" for _ in range(n)]
+    line, own = words(18), words(34)
+    both = own + line
+    texts = {1: words(40) + line + words(30), 5: words(25) + both + words(20), 6: words(15) + both + words(33)}
+    cut = words(52)
+    texts |= {11 + i: words(9) + cut[13 * i:13 * i + 13] + words(9) for i in range(4)}
+    texts |= {20: words(7) + cut + words(7), 21: cut}
+    got = repeats.repeated_passages(docs_of([(i, " ".join(w)) for i, w in texts.items()])).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.source_id) for r in got) == [(6, 15, 67, 5), (21, 0, 52, 20)]
+
+
+def test_every_word_of_every_exact_run_is_covered(docs_of):
+    rng = random.Random(11)
+    base = [[f"z{rng.randrange(10**6)}" for _ in range(150)] for _ in range(4)]
+    texts = []
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            source, a = rng.choice(base), rng.randrange(130)
+            text += [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(20))] + source[a:a + rng.randrange(5, 150)]
+        texts.append(text)
+    got, seen = {}, set()
+    for r in repeats.repeated_passages(docs_of([" ".join(t) for t in texts])).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    for i, text in enumerate(texts):
+        found = [tuple(text[j:j + 50]) for j in range(len(text) - 49)]
+        for j, run in enumerate(found):
+            assert run not in seen or set(range(j, j + 50)) <= got.get(i, set())
+        seen.update(found)
+
+
 def scores(rows, labels, name):
     test = [(r.score, r.predicted, labels[r.doc_id][name]) for r in rows if r.held_out and r.doc_id in labels]
     caught = np.mean([p for _, p, y in test if y == 1])
