@@ -19,7 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """``(doc_id, text, y)`` of at most ``per_class`` training rows of each class, and all training rows by class.
 
     Rows are chosen by hash of their id, so the choice doesn't depend on order. Of several labels of a document the
-    largest counts. Missing ids and labels are left out.
+    largest counts, of several texts the one with the smallest hash. Missing ids and labels are left out.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), modulus, rest))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
@@ -29,4 +29,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         part = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), counts
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return found.select("doc_id", "row.text", "y"), counts

@@ -251,12 +251,26 @@ def fit_linear(indexes: list[np.ndarray], target: np.ndarray, size: int, rounds:
     return w, b
 
 
+def fit_sample(docs: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` different rows that are not held out: those with the smallest hashes of id and text.
+
+    Rows without id are left out, unless no row has one.
+    """
+    hashed = docs.withColumn("h", F.xxhash64("doc_id", "text"))
+    named = hashed.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), MODULUS, REST))
+    for rows in (named, hashed.where("doc_id is null")):
+        bound = rows.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+        if bound is not None:
+            return rows.where(F.col("h") <= bound).dropDuplicates(["h"]).drop("h")
+    return docs.limit(0)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
     """Score every document: ``doc_id``, ``held_out``, ``score`` (0 to 1, higher: toxic) and ``predicted``.
 
     Labels are read only of rows that are not held out, at most ``per_class`` of each class; they choose the
     voters and start the label model, which is then fitted to the vote patterns of all documents. The classifier is
-    trained on posteriors of about ``fit_documents`` documents, chosen by hash, that are not held out. Ids, languages,
+    trained on posteriors of at most ``fit_documents`` documents, chosen by hash, that are not held out. Ids, languages,
     sources and labels are no inputs of a score.
 
     One row per input row. Missing and empty texts get the score of a text without any term. Without labels of both
@@ -288,10 +302,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED
     patterns = saved(_per_document(docs.select("text"), "mask", "long", voter).groupBy("mask").agg(F.count("*").alias("n")), "votes")
     model = fit_label_model(patterns, prior, fire)
 
-    total = patterns.agg(F.sum("n")).first()[0] or 0
-    share = min(1.0, fit_documents / max(total, 1) / (1 - 1 / MODULUS))
-    bound = int(share * 2**62)
-    chosen = docs.where(~held_out(F.col("doc_id"), MODULUS, REST) & (F.xxhash64("doc_id").bitwiseAND(F.lit(2**62 - 1)) <= bound))
+    chosen = fit_sample(docs, fit_documents)
 
     def posterior():
         finder = TermFinder(names)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lettersift.llm import fingerprints, quality, repeats, toxicity
+from lettersift.llm import fingerprints, quality, repeats, samples, toxicity
 
 VOCABULARY = [f"w{i}" for i in range(400)]
 
@@ -288,3 +288,16 @@ def test_dual_descent_separates():
 
 def test_shapes():
     assert [quality.shape(w) for w in ("word", "Word,", "WORD!!", "a%%%", "x|", "3.14", "Été")] == ["a", "Aa,", "A!+", "a%+", "a|", "0.0", "Aa"]
+
+
+def test_fitted_rows_are_bounded_by_row(spark, docs_of):
+    rows = [(None, f"no id {i}") for i in range(200)] + [(7, f"one id {i}") for i in range(200)] + [(8, "the same")] * 200
+    rows += [(i, f"text {i}") for i in range(100, 300)]
+    docs = docs_of(rows).select("doc_id", "text")
+    got = toxicity.fit_sample(docs, 50).collect()
+    assert len(got) == len(set(got)) == 50 and all(r.doc_id is not None for r in got)
+    assert toxicity.fit_sample(docs.where("doc_id is null"), 50).count() == 50 and toxicity.fit_sample(docs.limit(0), 50).count() == 0
+    labels = spark.createDataFrame([(i, i % 2) for i in (7, 8, *range(100, 300))], "doc_id long, toxic int")
+    sample, _ = samples.labelled_sample(docs, labels, "toxic", 4, 2, 1000)
+    ids = [r.doc_id for r in sample.collect()]
+    assert len(ids) == len(set(ids)) > 100
