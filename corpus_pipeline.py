@@ -9,22 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettersift.llm.common import saved, small_side, table
+from lettersift.llm.common import free_name, saved, small_side, table
 from lettersift.llm.decontamination import decontaminate
 from lettersift.llm.near import drop_near_duplicates
 from lettersift.llm.packing import pack
 from lettersift.llm.secrets import redact
 from lettersift.llm.toxicity import score_toxicity
 
-# Identifiers of rejected documents that are broadcast at most: 16 bytes each.
+# Keys of rejected rows that are broadcast at most: 16 bytes each.
 BROADCAST_DOCUMENTS = 1_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. Documents without ``doc_id`` can't be named and stay."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    rejected = saved(scored.where((F.col("predicted") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "rejected")
-    return docs.join(small_side(rejected, BROADCAST_DOCUMENTS), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that the classifier rejects go, each by its own text."""
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    scored = score_toxicity(keyed, table(spark, sf_dir, "labels"), carry=(key,))
+    rejected = saved(scored.where(F.col("predicted") == 1).select(key).distinct(), "rejected")
+    return keyed.join(small_side(rejected, BROADCAST_DOCUMENTS), key, "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small_side
+from .common import free_name, saved, small_side
 from .graph import components
 
 _U = np.uint64
@@ -129,15 +129,19 @@ def _digest(shingles: np.ndarray) -> int:
 
 
 def _sizes(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, n_shingles, digest)``, a row per document."""
+    """``(doc_id, n_shingles, digest)`` and the columns behind ``text``, a row per document."""
+    others = docs.columns[2:]
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.int64(), size=len(sets)),
-            ], ["doc_id", "n_shingles", "digest"])
+                *batch.columns[2:],
+            ], ["doc_id", "n_shingles", "digest", *others])
 
-    return docs.mapInArrow(measure, "doc_id long, n_shingles long, digest long")
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
+    return docs.mapInArrow(measure, "doc_id long, n_shingles long, digest long" + (", " + schema if others else ""))
 
 
 def _candidates(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -307,7 +311,7 @@ def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int)
         in_large.where("digest != known").select(F.col("digest").alias("a"), F.col("known").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
     """Groups of documents linked by likeness: ``den`` * shared shingles >= ``num`` * shingles in either set.
 
     Returns ``doc_id``, ``n_shingles`` (distinct ``width``-word shingles; with fewer words the whole sequence is one)
@@ -315,9 +319,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     One row per input row. Missing, empty and blank texts have no shingles and no links. Rows that share a ``doc_id``
     are one document, linked by whatever any of them links. Rows without ``doc_id`` have no ``component_id`` and link
-    nothing. An empty table gives no rows; other columns are ignored.
+    nothing. An empty table gives no rows; columns named in ``carry`` are returned too, others are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     named = docs.where("doc_id is not null")
     sizes = saved(_sizes(docs, width), "sizes")
     filled = sizes.where("doc_id is not null and n_shingles > 0")
@@ -338,22 +342,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     return sizes.join(named_groups, "digest", "left").select(
         "doc_id", "n_shingles",
         F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(
-            F.col("doc_id")).alias("component_id"))
+            F.col("doc_id")).alias("component_id"), *carry)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group stays: the one with the smallest ``doc_id``, once.
+    """One row of each group stays: the one with the smallest ``doc_id``, once.
 
-    Keeps the columns of ``docs``. Documents without words or without ``doc_id`` are in no group and stay.
+    Rows are told apart by ``doc_id`` and text, so each is judged by its own text. Of the rows of a group that have no
+    ``doc_id`` one stays, too. Rows without words are in no group and stay. Keeps the columns of ``docs``.
     """
-    found = near_duplicates(docs, width, num, den)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    gone, repeated = saved(gone, "gone"), saved(repeated, "repeated")
-    kept = docs.join(small_side(gone, BROADCAST_ROWS), "doc_id", "left_anti")
+    key, nameless = free_name(docs, "_key"), F.col("_name").isNull()
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = near_duplicates(
+        keyed.select(F.col(key).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_name")), width, num, den, ("_name",))
+    found = saved(found.where("n_shingles > 0").select("doc_id", "component_id", "_name", nameless.alias("nameless")), "grouped")
+    groups = found.groupBy("component_id", "nameless").agg(
+        F.min(F.struct("_name", "doc_id")).alias("first"), F.max(F.struct("_name", "doc_id")).alias("last"))
+    groups = saved(groups.where("first.doc_id != last.doc_id").select("component_id", "nameless", F.col("first.doc_id").alias("stays")), "stays")
+    gone = found.join(small_side(groups, BROADCAST_ROWS), ["component_id", "nameless"]).where("doc_id != stays").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    gone, repeated = (saved(df.withColumnRenamed("doc_id", key), name) for df, name in ((gone, "gone"), (repeated, "repeated")))
+    kept = keyed.join(small_side(gone, BROADCAST_ROWS), key, "left_anti")
     if repeated.take(1):
-        again = kept.join(small_side(repeated, BROADCAST_ROWS), "doc_id").dropDuplicates(["doc_id"])
-        kept = kept.join(small_side(repeated, BROADCAST_ROWS), "doc_id", "left_anti").unionByName(again)
+        again = kept.join(small_side(repeated, BROADCAST_ROWS), key).dropDuplicates([key])
+        kept = kept.join(small_side(repeated, BROADCAST_ROWS), key, "left_anti").unionByName(again)
     return kept.select(*docs.columns)
 
 

@@ -265,7 +265,8 @@ def fit_sample(docs: DataFrame, most: int) -> DataFrame:
     return docs.limit(0)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS, fit_documents: int = FIT_DOCUMENTS,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """Score every document: ``doc_id``, ``held_out``, ``score`` (0 to 1, higher: toxic) and ``predicted``.
 
     Labels are read only of rows that are not held out, at most ``per_class`` of each class; they choose the
@@ -274,9 +275,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED
     sources and labels are no inputs of a score.
 
     One row per input row. Missing and empty texts get the score of a text without any term. Without labels of both
-    classes the lexicon and patterns vote alone. An empty table gives no rows.
+    classes the lexicon and patterns vote alone. An empty table gives no rows. Columns named in ``carry`` are returned too.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    docs = rows_in.select("doc_id", "text")
     sample, counts = labelled_sample(docs, labels, "toxic", MODULUS, REST, per_class)
     n_class = {y: min(counts.get(y, 0), per_class) for y in (0, 1)}
     names: list[str] = []
@@ -334,7 +336,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED
         finder = TermFinder(useful)
         return lambda text: float(1 / (1 + np.exp(-np.clip(bias + sum(weights[i] for i in finder(text)), -30, 30))))
 
-    scored = _per_document(docs, "score", "double", scorer)
+    scored = _per_document(rows_in, "score", "double", scorer)
     return scored.select(
         "doc_id", held_out(F.col("doc_id"), MODULUS, REST).alias("held_out"), "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *carry)
