@@ -65,3 +65,20 @@ def free_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in map(str.lower, df.columns):
         stem += "_"
     return stem
+
+
+# A key that holds more than one row in this many is joined by broadcast: there are fewer such keys than this number.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with their groups, of which some may hold a large part of all rows.
+
+    ``groups`` has one row per key with the number of its rows in ``size``; ``total`` is the sum of these. Fewer than
+    ``HOT_SHARE`` groups can hold more than ``total / HOT_SHARE`` rows each: those are broadcast, whatever the size of
+    the table, and their rows stay in place. All others are shuffled, and none of them is large.
+    """
+    is_hot = F.col(size) * HOT_SHARE > total
+    hot, cold = F.broadcast(groups.where(is_hot)), groups.where(~is_hot)
+    rest = rows.join(F.broadcast(groups.where(is_hot).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys))

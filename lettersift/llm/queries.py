@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, near
-from .common import table
+from . import chat, decontamination, exact, manifest, near, phrases
+from .common import ascii_lower, table
 from .fingerprints import compare_with_edits
 from .packing import pack
 from .quality import score_quality
@@ -90,3 +90,27 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(chat.ORACLE)
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(chat.preference_pairs(table(spark, sf_dir, "conversations")))
+
+
+@query(manifest.ORACLE)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in manifest.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, manifest.leaf_hash(*fields[:-1], ascii_lower(fields[-1])))
+    rows = manifest.manifest(docs.select(*fields, tampered.alias("tampered")), ("doc_id", "tampered"))
+    rows = rows.withColumn("folded_root", manifest.folded(F.col("proof"), F.coalesce("tampered", "leaf")))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof_text(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query(phrases.ORACLE)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query(exact.ORACLE)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return exact.exact_duplicates(docs, ("doc_id", "text_sha256"))
