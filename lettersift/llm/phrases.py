@@ -71,7 +71,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray]]
 
 
 def _windows(words: pa.Array, joined: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The different words in order behind a null, and the window columns as places in them; 0 is padding."""
+    """The different words in order behind an empty one, and the window columns as places in them; 0 is padding."""
     coded = words.dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
     place = np.empty(len(order), np.int64)
@@ -81,7 +81,7 @@ def _windows(words: pa.Array, joined: np.ndarray) -> tuple[pa.Array, np.ndarray,
     ahead = lambda x, k: np.concatenate((x[k:], np.zeros(k, x.dtype)))[:n]
     second = np.where(joined[:n], ahead(first, 1), 0)
     third = np.where(joined[:n] & ahead(joined, 1), ahead(first, 2), 0)
-    known = pa.concat_arrays([pa.array([None], pa.string()), coded.dictionary.take(pa.array(order))])
+    known = pa.concat_arrays([pa.array([""], pa.string()), coded.dictionary.take(pa.array(order))])
     return known, first[:n], second, third
 
 
@@ -107,7 +107,11 @@ def _bucket_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _counter(hot: list[int]):
-    """Count the windows of each chunk; windows of hot buckets get a part by their third word."""
+    """Count the windows of each chunk: a row per leading pair, with its third words and their counts in ``thirds``.
+
+    ``lead`` is the two words, a part and the language, ``thirds`` parts words by a space and a count above 1 from its
+    word by a tab; neither stands in a word. Pairs of hot buckets have a row and a number for each part of third words.
+    """
     is_hot = np.zeros(BUCKETS, bool)
     is_hot[hot] = True
 
@@ -118,19 +122,27 @@ def _counter(hot: list[int]):
                 base = len(known)
                 keys, counts = np.unique((first * base + second) * base + third, return_counts=True)
                 pairs, third = np.divmod(keys, base)
-                first, second = np.divmod(pairs, base)
-                part = np.zeros(len(keys), np.int32)
+                parts = np.zeros(len(keys), np.int64)
                 if hot:
+                    first, second = np.divmod(pairs, base)
                     hashes = _hashes(known, lang)
-                    split = 1 + ((hashes[third] >> np.uint64(32)) % np.uint64(SPLIT)).astype(np.int32)
-                    part = np.where(is_hot[_buckets(hashes, first, second)], split, part)
-                # Sorted rows: neighbours share their first words, which keeps the shuffle small.
-                for at in range(0, len(keys), ROWS_OUT):
-                    rows = slice(at, at + ROWS_OUT)
-                    columns = [known.take(pa.array(w[rows])) for w in (first, second, third)]
-                    langs = pa.array([lang] * len(columns[0]), pa.string())
-                    yield pa.RecordBatch.from_arrays(
-                        [langs, *columns, pa.array(part[rows]), pa.array(counts[rows])], ["lang", "w0", "w1", "w2", "part", "n"])
+                    split = 1 + ((hashes[third] >> np.uint64(32)) % np.uint64(SPLIT)).astype(np.int64)
+                    parts = np.where(is_hot[_buckets(hashes, first, second)], split, 0)
+                    order = np.lexsort((parts, pairs))
+                    pairs, third, parts, counts = pairs[order], third[order], parts[order], counts[order]
+                tails = known.take(pa.array(third))
+                more = np.flatnonzero(counts > 1)
+                numbered = pc.binary_join_element_wise(tails.take(pa.array(more)), pa.array(counts[more]).cast(pa.string()), "\t")
+                tails = pc.replace_with_mask(tails, pa.array(counts > 1), numbered)
+                heads = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (parts[1:] != parts[:-1]))))
+                bounds = np.append(heads, len(keys)).astype(np.int32)
+                thirds = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), tails), " ")
+                first, second = np.divmod(pairs[heads], base)
+                lead = pc.binary_join_element_wise(
+                    known.take(pa.array(first)), known.take(pa.array(second)), pa.array(parts[heads]).cast(pa.string()), lang, "\t")
+                sizes = pa.array(np.add.reduceat(counts, heads))
+                for at in range(0, len(heads), ROWS_OUT):
+                    yield pa.RecordBatch.from_arrays([c.slice(at, ROWS_OUT) for c in (lead, thirds, sizes)], ["lead", "thirds", "n"])
 
     return count
 
@@ -139,8 +151,9 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang: str = "lang
     """``(lang, size, phrase, f)``: phrases of 1 to 3 words that occur ``min_count`` times, and ``size`` 0 for all words.
 
     Windows are counted in the tasks and dealt by their leading two words, so that one shuffle completes windows and
-    pairs. What is rare by then is put with its shorter prefix, of which ROLLUP sums all parts. A bucket of leading
-    pairs with more than 1 in 1,024 of all windows is dealt by the third word as well, and its pairs stay until the sum.
+    pairs. Rare ones are put with the shorter prefix, of which ROLLUP sums all parts; pairs keep what their listed windows
+    don't count. A bucket of leading pairs with more than 1 in 1,024 of all windows is dealt by the third word as well, and its
+    pairs stay until the sum.
     """
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -148,15 +161,21 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang: str = "lang
     sizes = saved(sizes, "buckets")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     hot = [r.bucket for r in sizes.where(F.col("n") * HOT_BUCKETS > total).select("bucket").collect()]  # fewer than 1,024
-    rows = texts.mapInArrow(_counter(hot), "lang string, w0 string, w1 string, w2 string, part int, n long")
-    windows = rows.repartition("lang", "w0", "w1", "part").groupBy("lang", "w0", "w1", "part", "w2").agg(F.sum("n").alias("n"))
-    often = (F.col("n") >= min_count) & F.col("w2").isNotNull()
-    pairs = windows.groupBy("lang", "w0", "w1", "part").agg(
-        F.sum("n").alias("n"), F.sum(F.when(often, F.col("n")).otherwise(0)).alias("listed"))
-    second = F.when((F.col("n") >= min_count) | (F.col("part") > 0), F.col("w1"))
-    rest = pairs.select("lang", "w0", second.alias("w1"), F.lit(None).cast("string").alias("w2"), (F.col("n") - F.col("listed")).alias("n"))
-    kept = windows.where(often).select("lang", "w0", "w1", "w2", "n").unionByName(rest.where("n > 0"))
-    sums = kept.rollup("lang", "w0", "w1", "w2").agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    rows = texts.mapInArrow(_counter(hot), "lead string, thirds string, n long").repartition("lead")
+    third = F.split("_third", "\t")
+    windows = rows.select("lead", F.explode(F.split("thirds", " ")).alias("_third")).select(
+        "lead", third[0].alias("w2"), F.coalesce(F.try_element_at(third, F.lit(2)).cast("long"), F.lit(1)).alias("n"))
+    windows = windows.groupBy("lead", "w2").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) & (F.col("w2") != ""))
+    pairs = rows.groupBy("lead").agg(F.sum("n").alias("n"))
+    lead = F.split("lead", "\t", 4)
+    columns = [lead[3].alias("lang"), lead[0].alias("w0"), F.nullif(lead[1], F.lit("")).alias("w1")]
+    often = (F.col("n") >= min_count) | (lead[2] != "0")
+    none = F.lit(None).cast("string").alias("w2")
+    kept = pairs.select(*columns[:2], F.when(often, columns[2]).alias("w1"), none, "n")
+    # A listed window and its pair, less the window.
+    listed = windows.select(*columns, F.inline(F.array(
+        F.struct("w2", "n"), F.struct(none, (-F.col("n")).alias("n")))))
+    sums = kept.unionByName(listed).rollup("lang", "w0", "w1", "w2").agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # Sums over a padded column, and the sum over all languages, are no phrases.
     size = F.when(F.col("level") == 7, 0).when(F.col("level") == 3, 1).when(
         (F.col("level") == 1) & F.col("w1").isNotNull(), 2).when((F.col("level") == 0) & F.col("w2").isNotNull(), 3)
@@ -222,20 +241,24 @@ grams AS (
   SELECT lang, unnest(list_transform(range(1, len(ws) + 1), lambda i: ws[i:i])) AS g FROM words
   UNION ALL SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i:i + 1])) FROM words
   UNION ALL SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) FROM words),
-f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY ALL),
+f AS MATERIALIZED (
+  SELECT lang || chr(9) || array_to_string(g, ' ') AS key, any_value(lang) AS lang, any_value(g) AS g, count(*) AS f
+  FROM grams GROUP BY 1),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
-c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= {MIN_COUNT}),
-k AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+c AS MATERIALIZED (SELECT key, lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= {MIN_COUNT}),
+k AS MATERIALIZED (
+  SELECT key, a, 1 AS k, lang || chr(9) || g[1] AS first, lang || chr(9) || array_to_string(g[2:], ' ') AS rest FROM c
+  UNION ALL SELECT key, a, 2, lang || chr(9) || array_to_string(g[1:2], ' '), lang || chr(9) || g[3] FROM c WHERE len(g) = 3),
 s AS (
-  SELECT k.lang, k.g, k.a, k.k, x.f AS l, y.f AS r,
-    ((1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM k JOIN f x ON x.lang = k.lang AND x.g = k.g[1:k.k] JOIN f y ON y.lang = k.lang AND y.g = k.g[k.k + 1:]),
-b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+  SELECT k.key, k.a, k.k, x.f AS l, y.f AS r, ((1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM k JOIN f x ON x.key = k.first JOIN f y ON y.key = k.rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY score, k) = 1),
 inside AS (
-  SELECT lang, g[1:2] AS g, a FROM c WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE len(g) = 3),
-longer AS (SELECT lang, g, max(a) AS most FROM inside GROUP BY ALL),
+  SELECT lang || chr(9) || array_to_string(g[1:2], ' ') AS key, a FROM c WHERE len(g) = 3
+  UNION ALL SELECT lang || chr(9) || array_to_string(g[2:3], ' '), a FROM c WHERE len(g) = 3),
+longer AS (SELECT key, max(a) AS most FROM inside GROUP BY key),
 kept AS (
-  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, l, r, score FROM b LEFT JOIN longer o ON o.lang = b.lang AND o.g = b.g
+  SELECT c.lang, array_to_string(c.g, ' ') AS phrase, b.a, l, r, score FROM b JOIN c USING (key) LEFT JOIN longer o USING (key)
   WHERE o.most IS NULL OR 100 * o.most < 50 * b.a)
 SELECT lang, rank, phrase, a, l, r, n, score FROM (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang)
