@@ -109,8 +109,8 @@ def _bucket_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _counter(hot: list[int]):
     """Count the windows of each chunk: a row per leading pair, with its third words and their counts in ``thirds``.
 
-    ``lead`` is the two words, a part and the language, ``thirds`` parts words by a space and a count above 1 from its
-    word by a tab; neither stands in a word. Pairs of hot buckets have a row and a number for each part of third words.
+    ``lead`` is the two words, a part and the language; ``thirds`` is the pair's count and the words, parted by spaces, a
+    word's count by a tab if it is not 1: neither stands in a word. One column, so that windows and pairs share a shuffle. Pairs of hot buckets have a row and a number for each part of third words.
     """
     is_hot = np.zeros(BUCKETS, bool)
     is_hot[hot] = True
@@ -140,9 +140,10 @@ def _counter(hot: list[int]):
                 first, second = np.divmod(pairs[heads], base)
                 lead = pc.binary_join_element_wise(
                     known.take(pa.array(first)), known.take(pa.array(second)), pa.array(parts[heads]).cast(pa.string()), lang, "\t")
-                sizes = pa.array(np.add.reduceat(counts, heads))
+                sizes = pa.array(np.add.reduceat(counts, heads)).cast(pa.string())
+                thirds = pc.binary_join_element_wise(sizes, thirds, " ")
                 for at in range(0, len(heads), ROWS_OUT):
-                    yield pa.RecordBatch.from_arrays([c.slice(at, ROWS_OUT) for c in (lead, thirds, sizes)], ["lead", "thirds", "n"])
+                    yield pa.RecordBatch.from_arrays([c.slice(at, ROWS_OUT) for c in (lead, thirds)], ["lead", "thirds"])
 
     return count
 
@@ -161,12 +162,12 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang: str = "lang
     sizes = saved(sizes, "buckets")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     hot = [r.bucket for r in sizes.where(F.col("n") * HOT_BUCKETS > total).select("bucket").collect()]  # fewer than 1,024
-    rows = texts.mapInArrow(_counter(hot), "lead string, thirds string, n long").repartition("lead")
+    rows = texts.mapInArrow(_counter(hot), "lead string, thirds string").repartition("lead")
     third = F.split("_third", "\t")
-    windows = rows.select("lead", F.explode(F.split("thirds", " ")).alias("_third")).select(
+    windows = rows.select("lead", F.explode(F.slice(F.split("thirds", " "), 2, 1 << 30)).alias("_third")).select(
         "lead", third[0].alias("w2"), F.coalesce(F.try_element_at(third, F.lit(2)).cast("long"), F.lit(1)).alias("n"))
     windows = windows.groupBy("lead", "w2").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) & (F.col("w2") != ""))
-    pairs = rows.groupBy("lead").agg(F.sum("n").alias("n"))
+    pairs = rows.groupBy("lead").agg(F.sum(F.substring_index("thirds", " ", 1).cast("long")).alias("n"))
     lead = F.split("lead", "\t", 4)
     columns = [lead[3].alias("lang"), lead[0].alias("w0"), F.nullif(lead[1], F.lit("")).alias("w1")]
     often = (F.col("n") >= min_count) | (lead[2] != "0")
