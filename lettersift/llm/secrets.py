@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, saved, small_side, with_row_id
+from .common import free_name
 
 # The base patterns in the order in which spans of equal start are listed, and what a match must be.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -17,108 +18,166 @@ HEX = r"[0-9a-f]+"
 PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 ASSIGN_VALUE = 6
 
-# Candidates of the entropy scan: long tokens that hold a digit and a letter.
+# Candidates of the entropy scan: long tokens.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+HEX_DIGITS = "0123456789abcdefABCDEF"
 WINDOW = 20
 # Bits a character in a window of 20, by class. Random hex has about 3.4 and random base64 about 4.1; words have
 # less than 3.6, numbers less than 3.0.
 LIMITS = {"hex": 3.0, "base64": 3.8}
-# Tokens that look random but are known to be harmless.
+# Harmless parts of a token: what is left of it is scanned. A word counts with all letters and digits joined to it.
 ALLOW = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # identifiers
-    r"(?i)example|sample|placeholder|changeme|dummy|xxxxx|12345678",
-    r"(.)\1{5}",
-    r"^/?([a-z0-9]{1,12}[/_-])+[a-z0-9]{0,12}$",  # paths and joined words
+    r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])",  # identifiers
+    r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?i:example|sample|placeholder|changeme|dummy|xxxxx|12345678)[A-Za-z0-9+]*+",
+    r"(?<run>.)\k<run>{5,}",
 )
-BROADCAST_DOCUMENTS = 200_000
+# Ranges that look random but are harmless: paths and joined words.
+ALLOW_RANGE = (r"^[/_-]?(?:[a-z0-9]{1,12}[/_-])++[a-z0-9]{0,12}$",)
 MASK = "[SECRET]"
+# Windows that begin in one piece of a candidate, and values that are summed up together.
+_PIECE = 200
+_SUMMED = 256
 
 
-def _matches(text: Column, kind: str, order: int, pattern: str) -> Column:
-    """Array of a kind's matches with the lengths of the gap before each and of the match itself.
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array, block by block, so that no long array is copied for each value."""
+    def within(total: Column, block: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("ends"), total.alias("total"))
+        return F.aggregate(block, start, lambda s, x: F.struct(
+            F.array_append(s.ends, s.total + x).alias("ends"), (s.total + x).alias("total")))
+
+    def step(s, block):
+        done = within(s.total, block)
+        return F.struct(F.array_append(s.blocks, done["ends"]).alias("blocks"), done["total"].alias("total"))
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(lengths) / _SUMMED).cast("int")), lambda i: F.slice(lengths, i * _SUMMED + 1, _SUMMED))
+    start = F.struct(F.array().cast("array<array<int>>").alias("blocks"), F.lit(0).alias("total"))
+    return F.aggregate(blocks, start, step, lambda s: F.flatten(s.blocks))
+
+
+def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
+    """Arrays of a pattern's matches and of what stands around them: one more, the rest, if there is a match at all."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+
+
+def _located(found: Column, gaps: Column) -> Column:
+    """``(start, end, match)`` of each match, from the lengths of matches and gaps."""
+    lengths = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.length(g) + F.length(m))
+    return F.zip_with(found, _ends(lengths), lambda m, end: F.struct(
+        (end - F.length(m)).alias("start"), end.alias("end"), m.alias("match")))
+
+
+_RANGES = "array<struct<lo:int,hi:int>>"
 
-    Splitting at the matches and listing them gives both; texts without a match are searched once.
-    """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    rows = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(
-        F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("match")))
-    tagged = F.transform(rows, lambda r, i: F.struct(
-        F.lit(kind).alias("kind"), F.lit(order).alias("order"), i.alias("i"), r.gap.alias("gap"), r.len.alias("len"), r.match.alias("match")))
-    return F.when(text.rlike(pattern), tagged).otherwise(F.array().cast(
-        "array<struct<kind:string,order:int,i:int,gap:int,len:int,match:string>>"))
 
+def _joined_ranges(ranges: Column) -> Column:
+    """Ranges in order, those that touch or overlap as one."""
+    def step(done, r):
+        last = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last.lo.alias("lo"), F.greatest(last.hi, r.hi).alias("hi"))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)).hi >= r.lo), grown).otherwise(F.array_append(done, r))
 
-def hot_range(candidate: Column, limit: Column, window: int = WINDOW) -> Column:
-    """``(lo, hi)``: start of the first and end of the last window whose entropy reaches ``limit``; 0, 0 if none does.
+    return F.aggregate(ranges, F.array().cast(_RANGES), step)
 
-    One pass: the counts of the window's characters and the sum of ``c * log2 c`` over them are carried along;
-    a step adds the entering character, takes the leaving one away and updates the sum by the two terms.
+
+def hot_ranges(candidate: Column, limits: dict[str, float] = LIMITS, window: int = WINDOW) -> Column:
+    """``(lo, hi)`` of each part of an ASCII string whose windows reach the entropy limit of their class.
+
+    A window of hex digits alone is held against the hex limit, others against that of base64. One pass over the
+    string, in pieces that share a window less one: a step takes the leaving character's count down and the entering
+    one's up, and updates the sum of ``c * log2 c`` by these two terms. Touching windows are one range.
     """
     term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(candidate, i, F.lit(1)))
-    state = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("total"),
-        F.lit(0).alias("lo"), F.lit(0).alias("hi"))
-
-    def step(s, i):
-        enters, leaves = place(i), F.when(i > window, place(i - window)).otherwise(-1)
-        before = F.get(s.counts, enters)
-        gone = F.when(leaves >= 0, F.get(s.counts, leaves) + (leaves == enters).cast("int")).otherwise(0)
+    bits = {name: (math.log2(window) - limit + 1e-9) * window for name, limit in limits.items()}
+    count = lambda s, c: F.octet_length(s) - F.octet_length(F.replace(s, c, F.lit("")))
+    plain = lambda c: (F.instr(F.lit(HEX_DIGITS), c) == 0).cast("int")
+
+    # Values that a step uses more than once are array elements, which are computed once.
+    def place(text: Column):
+        return lambda i: F.struct(
+            i.alias("i"), F.substring(text, i, F.lit(1)).alias("enters"),
+            F.substring(text, F.greatest(i - window, F.lit(1)), F.lit(1)).alias("leaves"),
+            F.substring(text, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1))).alias("stay"))
+
+    def change(x):
+        gone = x.i > window
+        return F.struct(
+            x.i.alias("i"), count(x.stay, x.enters).alias("up"), F.when(gone, count(x.stay, x.leaves)).otherwise(-1).alias("down"),
+            (plain(x.enters) - F.when(gone, plain(x.leaves)).otherwise(0)).alias("others"))
+
+    def step(s, x):
         total = (
-            s.total + F.get(term, before + 1) - F.get(term, before)
-            - F.when(gone > 0, F.get(term, gone) - F.get(term, gone - 1)).otherwise(0.0))
-        counts = F.transform(s.counts, lambda c, k: c + (k == enters).cast("int") - (k == leaves).cast("int"))
-        hot = (i >= window) & (math.log2(window) - total / window >= limit)
+            s.total + F.get(term, x.up + 1) - F.get(term, x.up)
+            - F.when(x.down >= 0, F.get(term, x.down + 1) - F.get(term, x.down)).otherwise(0.0))
+        others = s.others + x.others
+        hot = (x.i >= window) & (total <= F.when(others == 0, bits["hex"]).otherwise(bits["base64"]))
+        new = hot & (s.hi < x.i - window)
         return F.struct(
-            counts.alias("counts"), total.alias("total"),
-            F.when(hot & (s.hi == 0), i - window).otherwise(s.lo).alias("lo"),
-            F.when(hot, i).otherwise(s.hi).alias("hi"))
+            total.alias("total"), others.alias("others"), F.when(new, x.i - window).otherwise(s.lo).alias("lo"),
+            F.when(hot, x.i).otherwise(s.hi).alias("hi"),
+            F.when(new & (s.hi >= 0), F.array_append(s.done, F.struct(s.lo.alias("lo"), s.hi.alias("hi")))).otherwise(s.done).alias("done"))
+
+    start = F.struct(
+        F.lit(0.0).alias("total"), F.lit(0).alias("others"), F.lit(0).alias("lo"), F.lit(-window).alias("hi"), F.array().cast(_RANGES).alias("done"))
+    last = lambda s: F.when(s.hi > 0, F.array_append(s.done, F.struct(s.lo.alias("lo"), s.hi.alias("hi")))).otherwise(s.done)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), state, step, lambda s: F.struct(s.lo.alias("lo"), s.hi.alias("hi")))
+    def scan(piece):
+        places = F.transform(F.sequence(F.lit(1), F.length(piece.text)), place(piece.text))
+        ranges = F.aggregate(F.transform(places, change), start, step, last)
+        return F.transform(ranges, lambda r: F.struct((piece.at + r.lo).alias("lo"), (piece.at + r.hi).alias("hi")))
 
+    offsets = F.sequence(F.lit(0), F.greatest(F.length(candidate) - window, F.lit(0)), F.lit(_PIECE))
+    pieces = F.transform(offsets, lambda at: F.struct(at.alias("at"), F.substring(candidate, at + 1, F.lit(_PIECE + window - 1)).alias("text")))
+    ranges = _joined_ranges(F.flatten(F.transform(pieces, scan)))
+    return F.when(F.length(candidate) >= window, ranges).otherwise(F.array().cast(_RANGES))
 
-def found_spans(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """A row ``(_rid, kind, order, start, end)`` per span; positions in code points, the end exclusive.
 
-    ``docs`` holds ``_rid`` and ``text``. Only matches leave their row: their lengths are summed to positions per
-    document by a window.
+def secret_spans(docs: DataFrame, spans: str = "spans", allow: tuple[str, ...] = ALLOW, text: str = "text") -> DataFrame:
+    """Add ``spans``: ``(start, order, kind, end)`` of each secret in order; positions in code points, the end exclusive.
+
+    Everything happens within the row, so nothing is shuffled and any input will do. Missing and empty texts have
+    an empty array. Base spans are those of the patterns; entropy spans are added where they aren't inside one. ``allow``
+    lists patterns of harmless parts, which end a candidate.
     """
-    text = F.col("text")
-    kinds = [_matches(text, kind, i, pattern) for i, (kind, pattern) in enumerate(PATTERNS.items())]
-    kinds.append(_matches(text, "entropy", len(PATTERNS), CANDIDATE))
-    rows = docs.select("_rid", F.inline(F.concat(*kinds)))
-    so_far = Window.partitionBy("_rid", "order").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.col("len")).over(so_far).cast("int")
-    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
-    value = F.length(F.regexp_extract("match", ASSIGN, 2))
-    base = rows.where((F.col("kind") != "entropy") & ((F.col("kind") != "assign") | (value >= ASSIGN_VALUE)))
-    harmless = F.lit(False)
-    for pattern in allow:
-        harmless = harmless | F.col("match").rlike(pattern)
-    candidates = rows.where(
-        (F.col("kind") == "entropy") & F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]") & ~harmless)
-    limit = F.when(F.col("match").rlike("^[0-9a-fA-F]+$"), LIMITS["hex"]).otherwise(LIMITS["base64"])
-    hot = candidates.select("_rid", "kind", "order", "start", F.inline(F.array(hot_range(F.col("match"), limit)))).where("hi > 0")
-    columns = ["_rid", "kind", "order", "start", "end"]
-    added = hot.select("_rid", "kind", "order", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi")).alias("end"))
-    # A hot range inside a base span adds nothing.
-    earlier = Window.partitionBy("_rid").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max(F.when(F.col("kind") != "entropy", F.col("end"))).over(earlier)
-    spans = base.select(*columns).union(added.select(*columns)).withColumn("_reach", reach)
-    return spans.where((F.col("kind") != "entropy") | F.col("_reach").isNull() | (F.col("_reach") < F.col("end"))).drop("_reach")
+    body, work = F.col(text).cast("string"), free_name(docs, "_work")
+    empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+    found = docs.withColumn(work, F.struct(*[
+        F.when(body.rlike(pattern), F.struct(*[c.alias(n) for c, n in zip(_matches(body, pattern), ("m", "g"), strict=True)])).alias(kind)
+        for kind, pattern in {**PATTERNS, "entropy": CANDIDATE}.items()]))
+    as_span = lambda order, kind: lambda r: F.struct(
+        r.start.alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), r.end.alias("end"))
+    arrays = []
+    for order, kind in enumerate(PATTERNS):
+        hits = _located(F.col(f"{work}.{kind}.m"), F.col(f"{work}.{kind}.g"))
+        if kind == "assign":
+            hits = F.filter(hits, lambda r: F.length(F.regexp_extract(r.match, ASSIGN, 2)) >= ASSIGN_VALUE)
+        arrays.append(F.coalesce(F.transform(hits, as_span(order, kind)), empty))
+    barrier = "|".join(f"(?:{a})" for a in allow)
+
+    def added(candidate):
+        # What stands between the harmless parts of a candidate.
+        marks, gaps = _matches(candidate.match, barrier)
+        both = F.zip_with(gaps, F.concat(marks, F.array(F.lit(""))), lambda g, m: F.struct(g.alias("part"), (F.length(g) + F.length(m)).alias("n")))
+        parts = F.zip_with(both, _ends(F.transform(both, lambda x: x.n)), lambda x, end: F.struct(
+            (candidate.start + end - x.n).alias("start"), x.part.alias("part")))
+        hot = F.flatten(F.transform(parts, lambda p: F.transform(hot_ranges(p.part), lambda r: F.struct(
+            (p.start + r.lo).alias("start"), (p.start + r.hi).alias("end"), F.substring(p.part, r.lo + 1, r.hi - r.lo).alias("match")))))
+        secret = lambda r: r.match.rlike("[0-9]") & r.match.rlike("[A-Za-z]") & ~functools.reduce(
+            lambda a, b: a | b, [r.match.rlike(pattern) for pattern in ALLOW_RANGE])
+        return F.transform(F.filter(hot, secret), as_span(len(PATTERNS), "entropy"))
+
+    candidates = _located(F.col(f"{work}.entropy.m"), F.col(f"{work}.entropy.g"))
+    base, extra = free_name(docs, "_base"), free_name(docs, "_extra")
+    rows = found.withColumn(base, F.array_sort(F.concat(*arrays))).withColumn(
+        extra, F.when(F.col(f"{work}.entropy").isNotNull(), F.flatten(F.transform(candidates, added))).otherwise(empty))
+    outside = F.filter(extra, lambda e: ~F.exists(base, lambda b: (b.start <= e.start) & (b.end >= e.end)))
+    return rows.withColumn(spans, F.array_sort(F.concat(base, outside))).drop(work, base, extra)
 
 
 def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """Secrets of each document: ``doc_id`` and ``spans``, an array of ``(start, order, kind, end)`` in that order.
-
-    One row per input row, repeated rows included. Missing and empty texts have an empty array.
-    """
-    texts = with_row_id(docs).select("_rid", "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    span = F.when(F.col("kind").isNotNull(), F.struct("start", "order", "kind", "end"))
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (("kind", "string"), ("order", "int"), ("start", "int"), ("end", "int"))]
-    rows = texts.select("_rid", F.col("doc_id"), *empty).unionByName(found_spans(texts, allow), allowMissingColumns=True)
-    return rows.groupBy("_rid").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("spans")).drop("_rid")
+    """Secrets of each document: ``doc_id`` and ``spans``, as ``secret_spans`` says. One row per input row."""
+    return secret_spans(docs.select("doc_id", "text"), "spans", allow).select("doc_id", "spans")
 
 
 def spans_text(spans: Column) -> Column:
@@ -131,14 +190,10 @@ def redact(docs: DataFrame, allow: tuple[str, ...] = ALLOW, mask: str = MASK) ->
     Keeps the columns and rows of ``docs``; texts without secrets stay as they are, ``n_chars``, if there, is
     counted anew where the text changed.
     """
-    # Spans depend on the text alone, so repeated rows share them.
-    key, spans = (free_name(docs, name) for name in ("_key", "_spans"))
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    found = scan_secrets(keyed.select(F.col(key).alias("doc_id"), "text"), allow).where(F.size("spans") > 0)
-    # Written once: the join first counts it.
-    found = saved(found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(key), F.col("spans").alias(spans)), "secrets")
     text = F.col("text").cast("string")
 
+    spans = free_name(docs, "_spans")
+
     def cut(s, span):
         piece = F.when(span.start > s.end, F.concat(
             F.substring(text, s.end + 1, span.start - s.end), F.lit(mask))).otherwise(
@@ -147,8 +202,8 @@ def redact(docs: DataFrame, allow: tuple[str, ...] = ALLOW, mask: str = MASK) ->
 
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("end"))
     clean = F.aggregate(spans, start, cut, lambda s: F.concat(F.array_join(s.parts, ""), F.substring(text, s.end + 1, F.length(text))))
-    rows = keyed.join(small_side(found, BROADCAST_DOCUMENTS), key, "left")
-    hit = F.col(spans).isNotNull()
+    rows = secret_spans(docs, spans, allow)
+    hit = F.size(spans) > 0
     rows = rows.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
