@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, exact, manifest, near, phrases
-from .common import ascii_lower, table
+from .common import ascii_lower, saved, table
 from .fingerprints import compare_with_edits
 from .packing import pack
 from .quality import score_quality
@@ -39,7 +39,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_table(length_histogram(table(spark, sf_dir, "documents")))
+    # Two branches read the histogram: texts are encoded once.
+    return context_table(saved(length_histogram(table(spark, sf_dir, "documents")), "lengths"))
 
 
 @query()
