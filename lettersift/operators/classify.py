@@ -14,6 +14,7 @@ from ..rules import (
     PROMOTION_BONUS, SCORED_CATEGORIES, KeywordRule, default_keyword_rules,
 )
 from ..schemas import KEY
+from .automaton import summed, with_found_terms
 from .stage import computed
 from .terms import substring_hits
 
@@ -85,6 +86,19 @@ def keyword_scores_joined(df: DataFrame, rules: DataFrame, key: Sequence[str] =
     return df.select(*key).join(totals, list(key), "left").na.fill(0, [f"score_{c}" for c in SCORED_CATEGORIES])
 
 
+def keyword_scores_scanned(df: DataFrame, rules: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The scores of :func:`keyword_scores_joined`, for a rule table that fits an automaton's passes.
+
+    Each text is read once for all rules; scores are summed within the row, so nothing is shuffled.
+    """
+    texts = with_rule_texts(df)
+    for field, column in (("text", "_text"), ("sender", "_sender")):
+        of_field = rules.where(F.col("field") == field)
+        texts = with_found_terms(texts, column, of_field, "term", ("category", "weight"), f"_found_{field}")
+    found = F.concat("_found_text", "_found_sender")
+    return texts.select(*key, *[summed(found, category).alias(f"score_{category}") for category in SCORED_CATEGORIES])
+
+
 def keyword_hits(df: DataFrame, rules: Sequence[KeywordRule] | None = None) -> DataFrame:
     """How many messages each rule hits, in one pass over the messages."""
     rules = default_keyword_rules() if rules is None else rules

@@ -11,6 +11,7 @@ from ..functions.headers import sender_domain
 from ..functions.text import or_empty, strip
 from ..rules import normalise_terms
 from ..schemas import KEY
+from .automaton import with_found_terms
 from .terms import substring_candidates
 
 ALLOWED, DENIED, NEUTRAL = "whitelisted", "blacklisted", "neutral"
@@ -77,21 +78,60 @@ def wildcard_matches(senders: DataFrame, rules: DataFrame) -> DataFrame:
         pieces, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0)
     )
     anchored = patterns.withColumn("_piece", F.get(longest, F.lit(0)))
-    like = F.col("pattern")
-    for special in ("\\", "%", "_"):
-        like = F.replace(like, F.lit(special), F.lit("\\" + special))
     candidates = substring_candidates(
         senders, ["sender"], "sender", anchored.where(F.col("_piece") != ""), "_piece"
     ).select("list", "sender", "pattern")
-    checked = candidates.where(F.like("sender", F.replace(like, F.lit("*"), F.lit("%"))))
-    # At most one row per list: read as a scalar, so that senders are not joined on a constant.
     everyone = patterns.where(F.translate("pattern", "*", "") == "")
+    return domain.union(_like_matches(candidates)).union(_everyone(senders, everyone)).distinct()
+
+
+def _like_matches(candidates: DataFrame) -> DataFrame:
+    like = F.col("pattern")
+    for special in ("\\", "%", "_"):
+        like = F.replace(like, F.lit(special), F.lit("\\" + special))
+    return candidates.where(F.like("sender", F.replace(like, F.lit("*"), F.lit("%"))))
+
+
+def _everyone(senders: DataFrame, stars: DataFrame) -> DataFrame:
+    """All senders for a list with a bare ``*``.
+
+    At most one row per list: read as a scalar, so that senders are not joined on a constant.
+    """
+    rows = None
     for name in ("allow", "deny"):
-        star = everyone.where(F.col("list") == name).select(F.min("pattern")).scalar()
-        checked = checked.union(
-            senders.select(F.lit(name).alias("list"), "sender", star.alias("pattern")).where(F.col("pattern").isNotNull())
-        )
-    return domain.union(checked).distinct()
+        star = stars.where(F.col("list") == name).select(F.min("pattern")).scalar()
+        own = senders.select(F.lit(name).alias("list"), "sender", star.alias("pattern")).where(F.col("pattern").isNotNull())
+        rows = own if rows is None else rows.union(own)
+    return rows
+
+
+def wildcard_candidates(senders: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Rows ``list, sender, pattern``: for each pattern the addresses that hold the rarest of its literal pieces.
+
+    Two passes of an automaton over the distinct addresses: the first counts in how many of them each piece stands, the
+    second finds the chosen pieces. A pattern with a piece that stands nowhere matches nobody and is left out.
+    ``patterns`` must hold a literal piece each.
+    """
+    pieces = patterns.select("list", "pattern", F.explode(F.filter(F.split("pattern", r"\*"), lambda x: x != "")).alias("piece")).distinct()
+    seen = with_found_terms(senders, "sender", pieces.select("piece").distinct(), "piece", out="_pieces")
+    counts = seen.select(F.explode("_pieces.piece").alias("piece")).groupBy("piece").agg(F.count("*").alias("_n"))
+    counted = pieces.join(counts, "piece", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rank = F.struct("_n", -F.length("piece"), "piece")
+    chosen = counted.groupBy("list", "pattern").agg(F.min_by(F.struct("piece", "_n"), rank).alias("_rarest"))
+    chosen = chosen.where("_rarest._n > 0").select("list", "pattern", F.col("_rarest.piece").alias("piece"))
+    held = with_found_terms(senders, "sender", chosen.select("piece").distinct(), "piece", out="_pieces")
+    return held.select("sender", F.explode("_pieces.piece").alias("piece")).join(chosen, "piece").select("list", "sender", "pattern")
+
+
+def wildcard_matches_scanned(senders: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows of :func:`wildcard_matches`, from candidates by the rarest piece of each pattern."""
+    patterns = rules.where(F.contains(F.col("pattern"), F.lit("*")))
+    literal = F.translate("pattern", "*", "") != ""
+    by_domain = senders.withColumn("pattern", F.concat(F.lit("*@"), sender_domain(F.col("sender"))))
+    domain = by_domain.join(patterns, "pattern").select("list", "sender", "pattern")
+    # A plain domain pattern is covered by the join above, but for addresses that merely end in it.
+    checked = _like_matches(wildcard_candidates(senders, patterns.where(literal)))
+    return domain.union(checked).union(_everyone(senders, patterns.where(~literal))).distinct()
 
 
 def sender_statuses(senders: DataFrame, rules: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import body_fallback
-from ..functions.text import has_word, or_empty, substring_count
+from ..functions.text import has_word, or_empty, substring_count, words
 from ..rules import (
     KEYWORD_ANYWHERE, KEYWORD_SUBJECT, PHRASE_BODY, PHRASE_SUBJECT, TOPIC_SCALE, Topic, build_topics,
 )
 from ..schemas import KEY
+from .automaton import with_found_terms
 from .stage import computed
 from .terms import substring_hits, token_hits
 
@@ -119,6 +120,26 @@ def phrase_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> Da
     return found.select(*key, "topic", "term", _phrase_score(F.col("term")).alias("score"))
 
 
+def scanned_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The rows of :func:`keyword_hits` and :func:`phrase_hits`, with ``kind``, from one pass of an automaton over each text.
+
+    A keyword that is found must be a token, too. Texts stay in place; only what is found leaves their rows.
+    """
+    texts = with_topic_texts(df).select(*key, "_subject", "_body", "_all")
+    texts = with_found_terms(texts, "_all", terms, "term", ("topic", "kind"), "_found")
+    rows = texts.withColumn("_words", words(F.col("_all"))).withColumn("_hit", F.explode("_found"))
+    term, is_phrase = F.col("_hit.term"), F.col("_hit.kind") == "phrase"
+    rows = rows.where(is_phrase | ((F.col("_hit.kind") == "keyword") & F.array_contains("_words", term)))
+    score = F.when(is_phrase, _phrase_score(term)).otherwise(_keyword_score(term))
+    return rows.select(*key, "_hit.topic", "_hit.kind", term.alias("term"), score.alias("score"))
+
+
+def topic_scores_scanned(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """:func:`topic_scores` for a term table that fits an automaton's passes."""
+    hits = scanned_hits(df, terms, key)
+    return hits.groupBy(*key, "topic").agg(F.sum("score").alias("score")).where(F.col("score") > 0)
+
+
 def topic_scores(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Score per message and topic from a term table; only topics that score."""
     hits = keyword_hits(df, terms, key).unionByName(phrase_hits(df, terms, key))

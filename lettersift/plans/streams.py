@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..sources import corpus
-from ..streaming import jobs
+from ..streaming import jobs, remembered
 from . import sql
 from .registry import query
 
@@ -39,3 +39,24 @@ def stream_dedup(spark, sf):
     )
     run.awaitTermination()
     return spark.read.schema("mailbox string, hash string, uid long").parquet(f"{out}/rows").select("mailbox", "hash")
+
+
+@query(f"""{sql.HEADERS}{sql.STATE} SELECT mailbox, source_folder, uid, hash FROM h WHERE uid < (SELECT max(doc_id) FROM documents) / 2
+    UNION ALL SELECT mailbox, source_folder, uid, hash FROM h
+    WHERE uid >= (SELECT max(doc_id) FROM documents) / 2 AND (mailbox, hash) NOT IN (SELECT mailbox, hash FROM seen)""")
+def stream_remembered(spark, sf):
+    """New messages by 200 keys a mailbox in the stream's own state: the older half, a restart, then the newer half."""
+    out = shared_dir(spark, "remembered")
+    rows = corpus.headers(spark, sf)
+    newer = F.col("uid") >= corpus.table(spark, sf, "documents").select(F.max("doc_id") / 2).scalar()
+    for part, chosen in enumerate((~newer, newer)):
+        rows.where(chosen).write.parquet(f"{out}/in/part={part}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{out}/in/*")
+        with remembered.list_state(spark):
+            run = (
+                remembered.remembered_stream(stream).writeStream.format("parquet").outputMode("append")
+                .option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+                .trigger(availableNow=True).start()
+            )
+        run.awaitTermination()
+    return spark.read.schema("mailbox string, source_folder string, uid long, hash string").parquet(f"{out}/rows")
