@@ -15,8 +15,14 @@ from .triage import Scorer
 
 def confusion_matrix(df: DataFrame, actual: str = "actual", predicted: str = "predicted",
                      labels: Sequence = CATEGORIES) -> DataFrame:
-    """Counts with one row per actual label that occurs and one column per predicted label."""
-    return df.groupBy(actual).pivot(predicted, list(labels)).count().na.fill(0, [str(c) for c in labels])
+    """Counts with one row per actual and one column per predicted label, whether it occurs or not; others are left out.
+
+    All cells are counted in one pass, and only they leave the tasks.
+    """
+    cell = lambda a, p: F.count_if((F.col(actual) == a) & (F.col(predicted) == p))
+    cells = df.agg(*[cell(a, p).alias(f"{i}_{j}") for i, a in enumerate(labels) for j, p in enumerate(labels)])
+    rows = [F.struct(F.lit(a).alias(actual), *[F.col(f"{i}_{j}").alias(str(p)) for j, p in enumerate(labels)]) for i, a in enumerate(labels)]
+    return cells.select(F.inline(F.array(*rows)))
 
 
 def _ratio(top, bottom):

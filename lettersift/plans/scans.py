@@ -6,7 +6,7 @@ from ..functions.headers import age_days as age
 from ..operators import classify, filters, ingest, scan, search, topics
 from ..rules import default_keyword_rules, topic_terms_table
 from ..schemas import KEY
-from ..sources import corpus
+from ..sources import corpus, mime
 from . import sql
 from .registry import query
 from .state import earlier_state
@@ -63,6 +63,12 @@ def filter_unread(spark, sf):
     return filters.unread(corpus.headers(spark, sf)).select("uid")
 
 
+@query(f"{sql.HEADERS} SELECT uid, source_folder FROM h")
+def filter_none(spark, sf):
+    """No criteria: everything is found."""
+    return filters.select_messages(corpus.headers(spark, sf)).select("uid", "source_folder")
+
+
 @query(f"{sql.HEADERS} SELECT uid FROM h WHERE arrived_at >= date '2024-01-05' AND arrived_at < date '2024-01-20'")
 def filter_date_range(spark, sf):
     return filters.date_range(corpus.headers(spark, sf), "2024-01-05", "2024-01-20").select("uid")
@@ -108,6 +114,13 @@ def dq_empty_fields(spark, sf):
     return filters.quality_counts(corpus.messages(spark, sf))
 
 
+@query(f"""{sql.MESSAGES} SELECT count(*) AS total, count(*) FILTER (uid % 101 = 51 OR {sql.strip('from_email')} = '') AS empty_senders,
+    count(*) FILTER (uid % 101 = 51 OR {sql.strip('body_text')} = '') AS empty_bodies, count(*) FILTER (uid % 101 = 51) AS parse_failures FROM m""")
+def dq_parse_failures(spark, sf):
+    """The counts over raw mails, some of which cannot be parsed."""
+    return filters.quality_counts(mime.parse_all(corpus.raw_messages(corpus.messages(spark, sf)), corpus.as_of()))
+
+
 def _hits_sql() -> str:
     tests = []
     for r in default_keyword_rules():

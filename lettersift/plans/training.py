@@ -116,7 +116,8 @@ _PREDICTIONS = f"""WITH q AS (SELECT l.doc_id, {sql.items(CATEGORIES)}[quality *
     FROM labels l JOIN documents d USING (doc_id))"""
 
 
-@query(f"""{_PREDICTIONS} SELECT actual, {", ".join(f"count(*) FILTER (predicted = '{c}') AS {c}" for c in CATEGORIES)} FROM q GROUP BY actual""")
+@query(f"""{_PREDICTIONS} SELECT label AS actual, {", ".join(f"count(*) FILTER (predicted = '{c}') AS {c}" for c in CATEGORIES)}
+    FROM (SELECT unnest({sql.items(CATEGORIES)}) AS label) LEFT JOIN q ON actual = label GROUP BY label""")
 def confusion_matrix(spark, sf):
     return evaluate.confusion_matrix(corpus.labelled_predictions(spark, sf))
 
