@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.model import training_input
-from ..operators import bayes, classify, dataset, evaluate, ml, store
+from ..operators import bayes, classify, dataset, epochs, evaluate, ml, scoring, store
 from ..operators.triage import with_fallback_body
 from ..rules import CATEGORIES
 from ..schemas import KEY
@@ -230,3 +230,31 @@ def classify_linear(spark, sf):
     split = dataset.train_val_split(_training_texts(spark, sf))
     model = ml.train_classifier(split.where(F.col("split") == "train"))
     return ml.classify_model(_messages(spark, sf), model).select("uid", "category", "confidence", "method")
+
+
+def _load_length_model():
+    """A model that throws for a batch that holds a size of a multiple of 7."""
+    def score(rows):
+        if (rows["size"] % 7 == 0).any():
+            raise ValueError("cannot score this size")
+        return [[share / 2, (1 - share) / 2, share / 2, (1 - share) / 2] for share in rows["size"] % 10 / 10.0]
+
+    return score
+
+
+@query(f"""{sql.MESSAGES}{sql.classified()}, g AS (SELECT *, (size % 10) / 10.0::DOUBLE AS share, size % 7 = 0 AS failed FROM c)
+    SELECT uid, CASE WHEN failed THEN category WHEN share >= 1 - share THEN {sql.lit(CATEGORIES[0])} ELSE {sql.lit(CATEGORIES[1])} END AS category,
+      CASE WHEN failed THEN confidence ELSE greatest(share, 1 - share) / 2 END AS confidence,
+      CASE WHEN failed THEN 'rules' ELSE 'model' END AS method FROM g""")
+def classify_throwing_model(spark, sf):
+    """A scorer that throws inside batches: the rules decide for the rows at fault, the model for all others."""
+    scorer = scoring.safe_scorer(_load_length_model, ("size",))
+    return ml.classify_model(_messages(spark, sf), scorer=scorer).select("uid", "category", "confidence", "method")
+
+
+@query()
+def train_epochs(spark, sf):
+    """F1 after every epoch of mini-batch training and the epoch that is kept; compared with NumPy in the tests."""
+    trained = epochs.select_epoch(_training_texts(spark, sf), epochs=4)
+    rows = [(epoch, f1, epoch == trained.best) for epoch, f1 in enumerate(trained.f1)]
+    return spark.createDataFrame(rows, "epoch int, f1 double, kept boolean")
