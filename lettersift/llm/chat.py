@@ -10,7 +10,11 @@ ASSISTANT = "assistant"
 
 
 def conversation_turns(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, turns)``: the turns of each conversation as ``(turn, role, text)`` in order, equal ones by content."""
+    """``(conv_id, turns)``: the turns of each conversation as ``(turn, role, text)`` in order, equal ones by content.
+
+    Turns without a number come first. Rows without ``conv_id`` belong to no conversation and are left out. A
+    conversation is one row, so its turns must fit the memory of a task.
+    """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return conversations.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
@@ -37,14 +41,19 @@ def preference_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def _rendered(turn: Column) -> Column:
-    """A turn in the template; what looks like a marker inside a text is broken by a space."""
-    return F.concat(F.lit(OPEN), turn.role, F.lit("\n"), _safe(turn.text), F.lit(CLOSE + "\n"))
+    """A turn in the template; what looks like a marker inside a role or text is broken by a space."""
+    return F.concat(F.lit(OPEN), _safe_role(turn.role), F.lit("\n"), _safe(turn.text), F.lit(CLOSE + "\n"))
 
 
 def _safe(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def _safe_role(role: Column) -> Column:
+    """A role ends at the line's end, so line ends inside it become spaces."""
+    return F.translate(_safe(role), "\r\n", "  ")
+
+
 def _render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, _rendered), "")
 
@@ -57,7 +66,7 @@ def _mask(turns: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("ranges"))
 
     def add(state, turn):
-        begin = state.at + len(OPEN) + F.length(turn.role) + 1
+        begin = state.at + len(OPEN) + F.length(_safe_role(turn.role)) + 1
         end = begin + F.length(_safe(turn.text)) + len(CLOSE)
         ranges = F.when(turn.role == ASSISTANT, F.array_append(
             state.ranges, F.concat_ws(":", begin.cast("string"), end.cast("string")))).otherwise(state.ranges)
@@ -95,6 +104,7 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    translate(replace(coalesce(role, ''), '<|', '< |'), chr(13) || chr(10), '  ') AS shown,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
   FROM conversations WHERE conv_id IS NOT NULL
 ), l AS (SELECT conv_id, max(p) AS p FROM t WHERE role = 'assistant' GROUP BY conv_id),
@@ -102,7 +112,7 @@ c AS (SELECT t.* FROM t LEFT JOIN l USING (conv_id) WHERE l.p IS NULL OR t.p <=
 r AS (
   SELECT t.* FROM t LEFT JOIN l USING (conv_id) WHERE l.p IS NULL OR t.p < l.p
   UNION ALL
-  SELECT l.conv_id, o.role, o.text, l.p FROM l JOIN l m ON m.conv_id = xor(l.conv_id, 1) JOIN t o ON o.conv_id = m.conv_id AND o.p = m.p
+  SELECT l.conv_id, o.role, o.text, o.shown, l.p FROM l JOIN l m ON m.conv_id = xor(l.conv_id, 1) JOIN t o ON o.conv_id = m.conv_id AND o.p = m.p
 ), ids AS (SELECT conv_id, count(*) AS n FROM c GROUP BY conv_id),
 pre AS (
   SELECT ids.conv_id, coalesce(min(d.p) - 1, any_value(ids.n)) AS n_prefix
@@ -112,9 +122,9 @@ pre AS (
     WHERE c.p IS NULL OR r.p IS NULL) d ON d.conv_id = ids.conv_id
   GROUP BY ids.conv_id
 ), parts AS (
-  SELECT 'c' AS side, *, '<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS s FROM c
+  SELECT 'c' AS side, *, '<|im_start|>' || shown || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS s FROM c
   UNION ALL
-  SELECT 'r', *, '<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) FROM r
+  SELECT 'r', *, '<|im_start|>' || shown || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) FROM r
 ), placed AS (
   SELECT parts.*, n_prefix, sum(CASE WHEN parts.p > n_prefix THEN length(s) ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY parts.p) AS e
   FROM parts JOIN pre USING (conv_id)
@@ -123,9 +133,9 @@ pre AS (
     coalesce(string_agg(s, '' ORDER BY p) FILTER (WHERE side = 'c' AND p <= n_prefix), '') AS prompt,
     coalesce(string_agg(s, '' ORDER BY p) FILTER (WHERE side = 'c' AND p > n_prefix), '') AS chosen,
     coalesce(string_agg(s, '' ORDER BY p) FILTER (WHERE side = 'r' AND p > n_prefix), '') AS rejected,
-    coalesce(string_agg((e - length(s) + 13 + length(role)) || ':' || (e - 1), ',' ORDER BY p)
+    coalesce(string_agg((e - length(s) + 13 + length(shown)) || ':' || (e - 1), ',' ORDER BY p)
       FILTER (WHERE side = 'c' AND p > n_prefix AND role = 'assistant'), '') AS chosen_mask,
-    coalesce(string_agg((e - length(s) + 13 + length(role)) || ':' || (e - 1), ',' ORDER BY p)
+    coalesce(string_agg((e - length(s) + 13 + length(shown)) || ':' || (e - 1), ',' ORDER BY p)
       FILTER (WHERE side = 'r' AND p > n_prefix AND role = 'assistant'), '') AS rejected_mask
   FROM placed GROUP BY conv_id
 )
