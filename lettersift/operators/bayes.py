@@ -52,7 +52,8 @@ def predict(df: DataFrame, model: BayesModel) -> DataFrame:
     parts = met.select(*KEY, "k", "by_label", F.inline("labels"))
     logs = F.col("k") * F.log((F.coalesce(F.element_at("by_label", F.col("label")), F.lit(0)) + 1) / (F.col("words") + F.col("v")))
     sums = parts.groupBy(*KEY, F.col("label").alias("_label")).agg(F.sum(logs).alias("_sum"))
-    each = df.join(labels).select(*df.columns, F.explode("labels").alias("_of")).withColumn("_label", F.col("_of.label"))
+    # Keys only: texts are not copied for every label.
+    each = df.select(*KEY, "label").join(labels).select(*KEY, "label", F.explode("labels").alias("_of")).withColumn("_label", F.col("_of.label"))
     scored = each.join(sums, [*KEY, "_label"], "left")
     score = F.round(F.col("_of.prior") + F.coalesce("_sum", F.lit(0.0)), _DIGITS)
     best = F.min_by("_label", F.struct(-score, F.col("_label"))).alias("predicted")

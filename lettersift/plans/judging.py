@@ -10,10 +10,10 @@ from ..functions.model import CATEGORIES
 from ..operators import classify, decide as deciding, history, senders, store, topics, triage as judging
 from ..schemas import KEY
 from ..session import shared_dir
-from ..sources import corpus, tables
+from ..sources import corpus, mailbox as stored, tables
 from ..streaming import jobs
 from . import sql
-from .registry import query
+from .registry import ORACLES, query
 
 _JUDGED = sql.MESSAGES + sql.classified()
 _SETTINGS = corpus.SETTINGS
@@ -200,6 +200,19 @@ def apply_actions(spark, sf):
                         F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"))
 
 
+@query(ORACLES["apply_actions"])
+def update_mailbox(spark, sf):
+    """The same change on a stored mailbox, of which only the touched folders are rewritten."""
+    mails = corpus.folder_uids(corpus.headers(spark, sf)).select(*KEY, "flags", F.lit(None).cast("array<string>").alias("labels"))
+    path = shared_dir(spark, "mailbox")
+    stored.create_mailbox(mails, path)
+    plan = corpus.folder_uids(_triaged(spark, sf, _TRASHING)).select(*KEY, "planned_action", "planned_label", "apply")
+    stored.update_mailbox(spark, path, plan, 1, mails.schema)
+    after = stored.read_mailbox(spark, path, mails.schema)
+    return after.select("uid", "source_folder", F.array_join(F.sort_array("flags"), ",").alias("flags"),
+                        F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"))
+
+
 @query(f"""{_JUDGED} SELECT count(*) AS total_emails, {", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in CATEGORIES)} FROM c""")
 def run_stats(spark, sf):
     return judging.run_stats(_classified(spark, sf))

@@ -72,7 +72,7 @@ def read_state(spark, sf):
     """State written as a versioned table and read back."""
     marks, recent = earlier_state(spark, sf)
     path = shared_dir(spark, "state")
-    tables.write_version(tables.state_rows(marks, recent), path, 0)
+    tables.write_state(tables.state_rows(marks, recent), path, 0)
     return _marks(tables.marks_of(tables.read_state(spark, path)))
 
 

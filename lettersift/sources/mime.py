@@ -97,7 +97,8 @@ def read_mail_files(spark: SparkSession, path: str, mailbox: str, pattern: str =
     """Raw mails from files, one mail per file; the folder is the name of the directory.
 
     ``uid`` numbers the files of a folder by modification time and then path: the order of arrival. Numbering
-    reads no contents.
+    reads no contents. For folders that change or are large use ``mailfiles``, whose uids stay and which reads
+    headers first and bodies where their rows are.
     """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RECENT_HASHES, WATERMARK
+from . import manifests
 
 # Every so many batches the whole state is written, so that reading it does not take longer and longer.
 SNAPSHOT_EVERY = 50
@@ -20,6 +21,7 @@ STATE = (
     "mailbox string, newest struct<hash:string,date:string,subject:string,received_at:timestamp>, "
     "recent array<struct<hash:string,batch_id:bigint,seq:bigint>>"
 )
+_MANIFEST = "version bigint, parent bigint, snapshot boolean, files array<string>"
 
 
 def write_version(df: DataFrame, path: str, version: int, partition_by: tuple[str, ...] = ()) -> None:
@@ -57,12 +59,57 @@ def latest_state(versions: DataFrame) -> DataFrame:
     return latest.select("mailbox", "_row.*")
 
 
+def write_state(df: DataFrame, path: str, version: int) -> None:
+    """Write one version of the state and commit it with a manifest: its files and those it rests on.
+
+    A version rests on the newest snapshot and the versions since. With a snapshot, versions older than the last two
+    snapshots are removed, so the table keeps its size however many batches there are.
+    """
+    spark = df.sparkSession
+    manifests.withdraw(spark, path, version)
+    write_version(df, path, version)
+    files = spark.read.parquet(f"{path}/version={version}").inputFiles()
+    parent = None
+    if not is_snapshot(version):
+        parent = _state_manifest(spark, path, version)
+        files = [*(parent.files if parent else []), *files]
+    row = (version, parent.version if parent else None, is_snapshot(version), files)
+    manifests.commit(spark.createDataFrame([row], _MANIFEST), path, version)
+    if is_snapshot(version):
+        oldest = version - SNAPSHOT_EVERY
+        for old in manifests.versions(spark, path):
+            if old < oldest:
+                manifests.withdraw(spark, path, old)
+                manifests.remove(spark, f"{path}/version={old}")
+
+
+def _state_manifest(spark: SparkSession, path: str, before: int | None):
+    """The manifest that state before a version rests on; None if there is no version before it."""
+    version = None if before is None else before - 1
+    if version is None or version < 0:
+        known = manifests.versions(spark, path)
+        if before is not None or not known:
+            return None
+        version = known[-1]
+    found = manifests.manifest(spark, path, version, _MANIFEST)
+    if found is None and any(v < version for v in manifests.versions(spark, path)):
+        raise ValueError(f"state version {version} is missing in {path}")
+    return found.first() if found is not None else None
+
+
 def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """State after the last version, or before version ``before``.
 
-    Reads the newest snapshot and the versions after it. If one of these is missing, state would be lost without
-    a sign, so that is an error; only a table that does not exist is empty.
+    Opens the files that one manifest lists: the newest snapshot and the versions after it. If a version is missing, state
+    would be lost without a sign, so that is an error; only a table that does not exist is empty. Tables without
+    manifests are read by their folders.
     """
+    if manifests.names(spark, f"{path}/_manifests"):
+        found = _state_manifest(spark, path, before)
+        if found is None:
+            return latest_state(spark.createDataFrame([], f"{STATE}, version bigint"))
+        rows = spark.read.schema(f"{STATE}, version bigint").option("basePath", path).parquet(*found.files)
+        return latest_state(rows)
     rows, versions = versions_of(spark, path, STATE)
     end = before if before is not None else (versions[-1] + 1 if versions else 0)
     if not versions or not end:

@@ -14,7 +14,7 @@ from ..operators.store import audit_log_rows, classified_log_rows
 from ..operators.triage import Scorer, classify_rules, run_record, triage
 from ..rules import Settings
 from ..schemas import KEY
-from ..sources.tables import is_snapshot, marks_of, read_state, recent_of, state_rows, write_log, write_version
+from ..sources.tables import is_snapshot, marks_of, read_state, recent_of, state_rows, write_log, write_state, write_version
 
 _STATE_COLUMNS = ["mailbox", "uid", "hash", "date", "subject", "received_at"]
 
@@ -43,7 +43,7 @@ def finish_batch(fresh: DataFrame, state: DataFrame, batch_id: int, settings: Se
     done = judged.select(*_STATE_COLUMNS)
     touched = state if is_snapshot(batch_id) else state.join(done.select("mailbox").distinct(), "mailbox", "left_semi")
     new_marks, new_recent = advance_state(done, batch_id, marks_of(touched), recent_of(touched))
-    write_version(state_rows(new_marks, new_recent), f"{out}/state", batch_id)
+    write_state(state_rows(new_marks, new_recent), f"{out}/state", batch_id)
 
 
 def run_once(header_rows: DataFrame, bodies: DataFrame, settings: Settings, out: str, batch_id: int, as_of: Column,
