@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.headers import as_utc
+from ..rules import CATEGORIES
 from ..session import shared_dir
 from ..sources import corpus
-from ..streaming import jobs, remembered
+from ..streaming import intervals, jobs, remembered
 from . import sql
+from .judging import _EVENT_CATEGORY
 from .registry import query
 
 
@@ -60,3 +63,22 @@ def stream_remembered(spark, sf):
             )
         run.awaitTermination()
     return spark.read.schema("mailbox string, source_folder string, uid long, hash string").parquet(f"{out}/rows")
+
+
+@query(f"""WITH mark AS (SELECT max(ts) AS newest FROM events WHERE event_id % 3 <> 0),
+    e AS (SELECT ts, {_EVENT_CATEGORY} AS category, event_id % 3 = 0 AND
+      time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE + INTERVAL 3 DAY <= (SELECT newest FROM mark) AS late FROM events)
+    SELECT epoch_us(time_bucket(INTERVAL 15 MINUTE, ts)) // 1000000 AS started, count(*) FILTER (NOT late) AS total_emails,
+    {", ".join(f"count(*) FILTER (category = '{c}' AND NOT late) AS {c}" for c in CATEGORIES)},
+    count(*) FILTER (late) AS late_emails FROM e GROUP BY 1""")
+def stream_run_stats(spark, sf):
+    """Events as classified messages, counted per interval by a stream: two parts with a restart between, the second late."""
+    out = shared_dir(spark, "intervals")
+    events = corpus.table(spark, sf, "events").select(
+        "event_id", as_utc(F.col("ts")).alias("received_at"), F.expr(_EVENT_CATEGORY).alias("category"))
+    for part, chosen in enumerate((F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0)):
+        events.where(chosen).write.parquet(f"{out}/in/part={part}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{out}/in/*")
+        intervals.interval_stream(stream, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
+    counted = intervals.read_intervals(spark, f"{out}/counts")
+    return counted.select(F.unix_timestamp("timestamp").alias("started"), "total_emails", *CATEGORIES, "late_emails")

@@ -167,7 +167,7 @@ def test_no_jobs_while_building(spark, sf):
     from __spark_entry__ import LLM_QUERIES, queries
 
     allowed = {"stream_triage", "stream_dedup", "read_state", "read_dataset_csv", "read_dataset_json", "read_dataset_json_forms", "run_once", "run_log",
-               "retention_partitioned", "train_linear", "select_linear", "classify_linear", "retention", "stream_remembered", "train_epochs", "update_mailbox",
+               "retention_partitioned", "train_linear", "select_linear", "classify_linear", "retention", "stream_remembered", "train_epochs", "update_mailbox", "stream_run_stats",
                "keyword_scores_large", "topic_hits_large", "sender_wildcard_large", "scan_headers_files", "late_materialize_files"}
     tracker = spark.sparkContext.statusTracker()
     for name, build in queries().items():

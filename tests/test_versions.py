@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lettersift.operators import decide, state
 from lettersift.rules import ALL_MAIL
 from lettersift.sources import mailbox, manifests, tables
+from lettersift.streaming import intervals
 
 NOON = dt.datetime(2024, 1, 10, 12, tzinfo=dt.timezone.utc)
 _COLUMNS = "uid long, mailbox string, hash string, date string, subject string, received_at timestamp"
@@ -85,3 +86,28 @@ def test_update_rewrites_touched_folders_only(spark, tmp_path):
     assert mailbox.read_mailbox(spark, path, mails.schema).count() == mails.count()
     with pytest.raises(ValueError):
         mailbox.read_mailbox(spark, path, mails.schema, 1)
+
+
+def test_intervals_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SNAPSHOT_EVERY", 3)
+    out, start = str(tmp_path / "counts"), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    assert intervals.read_intervals(spark, out).count() == 0
+    mark, totals, late = None, {}, {}
+    for batch in range(8):
+        ages = [batch * 20, batch * 20 + 1, max(0, batch * 20 - 70), max(0, batch * 20 - 90)]
+        rows = [(start + dt.timedelta(minutes=m), "feed" if m % 2 else None) for m in ages] + [(None, "feed")]
+        df = spark.createDataFrame(rows, "received_at timestamp, category string")
+        for _ in range(2):  # a batch that runs again
+            intervals.interval_batch(df, batch, out, delay="1 hour")
+        for m in ages:
+            interval = m // 15 * 15
+            behind = mark is not None and interval + 15 + 60 <= mark
+            (late if behind else totals)[interval] = (late if behind else totals).get(interval, 0) + 1
+        mark = max([m for m in (mark, *ages) if m is not None])
+        got = intervals.read_intervals(spark, out).collect()
+        minute = lambda r: int((r.timestamp.replace(tzinfo=dt.timezone.utc) - start).total_seconds() // 60)
+        assert {minute(r): r.total_emails for r in got if r.total_emails} == totals
+        assert {minute(r): r.late_emails for r in got if r.late_emails} == late
+    assert late and len([n for n in manifests.names(spark, out) if n.startswith("version=")]) <= 6
+    with pytest.raises(ValueError):
+        intervals.interval_batch(spark.createDataFrame([], "received_at timestamp, category string"), 20, out)
