@@ -134,8 +134,28 @@ def _decode_headers(headers: pd.Series) -> pd.Series:
     return headers.map(decode_header_text, na_action="ignore")
 
 
+_AROUND = r"((?:(?!=\?)[\t\x20-\x7e])*+)"
+_WORD_B = rf"^{_AROUND}=\?(?i:utf-8)\?[bB]\?((?:[A-Za-z0-9+/]{{4}})*+(?:[A-Za-z0-9+/]{{2}}==|[A-Za-z0-9+/]{{3}}=)?)\?={_AROUND}$"
+_WORD_Q = rf"^{_AROUND}=\?(?i:utf-8)\?[qQ]\?((?:[!-<>@-~]|=[0-9A-Fa-f]{{2}})++)\?={_AROUND}$"
+
+
+def plain_header(c: Column) -> Column:
+    """A header that needs no Python: ASCII text with at most one encoded word, in UTF-8 (B or Q). NULL for any other."""
+    header = strip(c)
+    # Plain letters of a Q word must not look like the escapes of a URL.
+    escaped = F.replace(F.replace(F.regexp_extract(header, _WORD_Q, 2), F.lit("%"), F.lit("=25")), F.lit("+"), F.lit("=2B"))
+    quoted = F.try_url_decode(F.translate(escaped, "=_", "% "))
+    coded = F.unbase64(F.regexp_extract(header, _WORD_B, 2)).cast("string")
+    around = lambda pattern, text: strip(F.concat(F.regexp_extract(header, pattern, 1), text, F.regexp_extract(header, pattern, 3)))
+    return (
+        F.when(~F.contains(header, F.lit("=?")), header)
+        .when(header.rlike(_WORD_B), F.when(F.is_valid_utf8(coded), around(_WORD_B, coded)))
+        .when(header.rlike(_WORD_Q), F.when(~F.contains(quoted, F.lit("\ufffd")), around(_WORD_Q, quoted)))
+    )
+
+
 def decode_header(c: Column) -> Column:
-    """Decode encoded words. Only headers that hold one are sent to Python."""
+    """Decode encoded words. Only headers of several words, other charsets or damaged ones are sent to Python."""
     header = or_empty(c)
-    encoded = F.contains(header, F.lit("=?"))
-    return F.when(encoded, _decode_headers(F.when(encoded, header))).otherwise(strip(header))
+    plain = plain_header(header)
+    return F.coalesce(plain, _decode_headers(F.when(plain.isNull(), header)))

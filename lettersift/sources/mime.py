@@ -1,7 +1,7 @@
 """Raw mails to message rows.
 
-Python's ``email`` package reads the bytes, one Arrow batch at a time; only the raw column goes to
-Python. Everything derived from the parts is computed by Spark.
+Mails of a single UTF-8 text are taken apart by expressions. Python's ``email`` package reads the bytes of all others, one
+Arrow batch at a time. Everything derived from the parts is computed by Spark.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.headers import age_days, decode_header_text, extract_address, extract_name, message_hash, parse_date
+from ..functions.headers import age_days, decode_header_text, extract_address, extract_name, message_hash, parse_date, plain_header
 from ..functions.html import body_fallback
+from ..functions.text import strip
 
 _FIELDS = ["message_id", "subject", "from_raw", "to_raw", "date", "body_text", "body_html", "parse_error"]
 _PARTS = T.StructType([T.StructField(name, T.StringType()) for name in _FIELDS])
@@ -86,6 +87,42 @@ def _read_parts(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_parts(r) for r in raw], columns=_FIELDS, dtype="object")
 
 
+_BLANK = r"(?s)^(.*?)\r?\n\r?\n"
+_HEAD = r"^(?:[!-9;-~]++:[\t\x20-\x7e]*+(?:\r?\n|$))++$"
+_BASE64 = r"^(?:\s*+[A-Za-z0-9+/]){2,}+\s*+={0,2}\s*+$"
+
+
+def simple_parts(raw: Column) -> Column:
+    """The parts of a mail of a single UTF-8 text, by expressions; NULL for all mails that need Python.
+
+    Simple is a mail of ASCII header lines that aren't folded, whose subject and addresses hold at most one encoded
+    word each, and whose one body is plain or HTML text, as it is or in base64.
+    """
+    mail = raw.cast("string")
+    head = F.regexp_extract(mail, _BLANK, 1)
+    field = lambda name: F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
+    kind = F.lower(F.trim(F.split_part(field("content-type"), F.lit(";"), F.lit(1))))
+    charset = F.lower(F.regexp_extract(field("content-type"), r"""(?i);\s*charset\s*=\s*"?([^";\s]+)""", 1))
+    coding = F.lower(F.trim(field("content-transfer-encoding")))
+    body = F.substring(mail, F.length(F.regexp_extract(mail, _BLANK, 0)) + 1, F.length(mail))
+    letters = F.regexp_replace(body, r"\s++", "")
+    is_base64 = (coding == "base64") & body.rlike(_BASE64) & (F.length(letters) % 4 == 0)
+    decoded = F.when(coding == "base64", F.when(is_base64, F.unbase64(letters).cast("string"))).otherwise(body)
+    text = F.when(F.is_valid_utf8(decoded), strip(decoded))
+    decodable = [plain_header(field(name)) for name in ("subject", "from", "to")]
+    ready = (
+        F.is_valid_utf8(mail) & mail.rlike(_BLANK) & head.rlike(_HEAD) & kind.isin("", "text/plain", "text/html")
+        & charset.isin("", "utf-8") & ~F.contains(field("content-type"), F.lit("*"))
+        & coding.isin("", "7bit", "8bit", "binary", "base64") & text.isNotNull())
+    for value in decodable:
+        ready = ready & value.isNotNull()
+    none, is_html = F.lit(""), kind == "text/html"
+    return F.when(F.coalesce(ready, F.lit(False)), F.struct(
+        field("message-id").alias("message_id"), *[v.alias(n) for v, n in zip(decodable, ("subject", "from_raw", "to_raw"), strict=True)],
+        field("date").alias("date"), F.when(is_html, none).otherwise(text).alias("body_text"),
+        F.when(is_html, text).otherwise(none).alias("body_html"), F.lit(None).cast("string").alias("parse_error")))
+
+
 def parse_headers(raw: DataFrame) -> DataFrame:
     """Header rows of raw mails; bodies are not parsed. Mails with unreadable headers are left out."""
     rows = raw.withColumn("_fields", _read_header_fields("raw"))
@@ -115,7 +152,10 @@ def read_mail_files(spark: SparkSession, path: str, mailbox: str, pattern: str =
 
 def parse_all(raw: DataFrame, as_of: Column) -> DataFrame:
     """Message rows for all raw mails; those that failed carry a ``parse_error`` and no key."""
-    parts = raw.withColumn("_parts", _read_parts("raw"))
+    # Python gets the bytes of the other mails only.
+    parts = raw.withColumn("_simple", simple_parts(F.col("raw")))
+    parts = parts.withColumn("_read", _read_parts(F.when(F.col("_simple").isNull(), F.col("raw"))))
+    parts = parts.withColumn("_parts", F.coalesce("_simple", "_read"))
     kept = [c for c in raw.columns if c != "raw"]
     rows = parts.select(*kept, F.octet_length("raw").cast("long").alias("size"), "_parts.*")
     good, known = F.col("parse_error").isNull(), F.col("from_raw").isNotNull()
