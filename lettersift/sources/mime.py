@@ -177,3 +177,11 @@ def split_failures(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_messages(raw: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Messages and quarantine. Write :func:`parse_all` to a table first to parse only once."""
     return split_failures(parse_all(raw, as_of))
+
+
+def parse_stored(raw: DataFrame, as_of: Column, path: str) -> tuple[DataFrame, DataFrame]:
+    """Messages and quarantine from one parse: rows are written by whether they failed, and each half reads its own files."""
+    parsed = parse_all(raw, as_of).withColumn("failed", F.col("parse_error").isNotNull())
+    parsed.write.mode("overwrite").partitionBy("failed").parquet(path)
+    stored = raw.sparkSession.read.schema(parsed.schema).parquet(path)
+    return stored.where(~F.col("failed")).drop("failed"), stored.where("failed").drop("failed")

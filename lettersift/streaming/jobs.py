@@ -13,7 +13,6 @@ from ..operators.state import advance_state
 from ..operators.store import audit_log_rows, classified_log_rows
 from ..operators.triage import Scorer, classify_rules, run_record, triage
 from ..rules import Settings
-from ..schemas import KEY
 from ..sources.tables import is_snapshot, marks_of, read_state, recent_of, state_rows, write_log, write_state, write_version
 
 _STATE_COLUMNS = ["mailbox", "uid", "hash", "date", "subject", "received_at"]

@@ -76,3 +76,13 @@ def test_python_reads_under_half(spark, sf):
     raw = corpus.raw_messages(corpus.messages(spark, sf))
     counts = raw.agg(F.count("*").alias("n"), F.count_if(mime.simple_parts(F.col("raw")).isNull()).alias("python")).first()
     assert counts.python < counts.n / 2
+
+
+def test_stored_halves_are_those_of_one_parse(spark, sf, tmp_path):
+    raw, as_of = corpus.raw_messages(corpus.messages(spark, sf)), corpus.as_of()
+    rows = lambda df: sorted((r.uid, r.message_id, r.body_text, r.parse_error) for r in df.collect())
+    for stored, plain in zip(mime.parse_stored(raw, as_of, str(tmp_path / "parsed")), mime.parse_messages(raw, as_of), strict=True):
+        assert stored.columns == plain.columns and rows(stored) == rows(plain)
+        assert "MapInPandas" not in (plan := stored._jdf.queryExecution().executedPlan().toString()) and "ArrowEvalPython" not in plan
+    good, bad = mime.parse_stored(raw.limit(0), as_of, str(tmp_path / "none"))
+    assert good.count() == bad.count() == 0
