@@ -104,3 +104,19 @@ def test_bounded_state_equals_batch_state(spark, tmp_path):
             passed = {r.uid for r in got.collect()}
             assert sorted(passed - before) == expected, (null_id, n)
             before = passed
+
+
+def test_sums_leave_the_worker_not_what_is_found(spark):
+    """Found terms as rows of Python objects took an executor's memory."""
+    rows = spark.createDataFrame([(1, "abab cab", "a@b"), (2, "", None), (3, None, "xx")], "uid long, text string, sender string")
+    terms = spark.createDataFrame([("ab", 1, 5), ("ab", 2, 0), ("c", 4, 1), ("b", 0, 7), ("", 9, 9), (None, 9, 9)], "term string, x int, y int")
+    for pass_bytes in (64_000_000, 4):
+        got = automaton.with_sums(rows, {"text": ["x", "y"], "sender": ["y"]}, terms, pass_bytes=pass_bytes)
+        assert sorted((r.uid, r._sums_text, r._sums_sender) for r in got.collect()) == [(1, [7, 13], [7]), (2, [0, 0], [0]), (3, [0, 0], [0])]
+    rules = spark.createDataFrame(
+        [("feed", "text", "ab", 2), ("feed", "text", "ab", 2), ("feed", "text", "ab", 1), ("promotions", "sender", "x", 3), ("other", "text", "c", 5)],
+        "category string, field string, term string, weight int")
+    mails = rows.select("uid", F.lit("").alias("subject"), F.col("text").alias("body_text"), F.col("sender").alias("from_email"), F.lit("").alias("from_name"))
+    plan = classify.keyword_scores_scanned(mails, rules, ("uid",))
+    assert sorted(map(tuple, plan.collect())) == [(1, 0, 3, 0), (2, 0, 0, 0), (3, 0, 0, 3)]
+    assert "array<struct" not in plan._jdf.queryExecution().analyzed().toString()
