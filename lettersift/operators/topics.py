@@ -13,7 +13,7 @@ from ..rules import (
     KEYWORD_ANYWHERE, KEYWORD_SUBJECT, PHRASE_BODY, PHRASE_SUBJECT, TOPIC_SCALE, Topic, build_topics,
 )
 from ..schemas import KEY
-from .automaton import with_found_terms
+from .automaton import with_counted_terms
 from .stage import computed
 from .terms import substring_hits, token_hits
 
@@ -125,12 +125,15 @@ def scanned_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> D
 
     A keyword that is found must be a token, too. Texts stay in place; only what is found leaves their rows.
     """
-    texts = with_topic_texts(df).select(*key, "_subject", "_body", "_all")
-    texts = with_found_terms(texts, "_all", terms, "term", ("topic", "kind"), "_found")
-    rows = texts.withColumn("_words", words(F.col("_all"))).withColumn("_hit", F.explode("_found"))
+    texts = with_topic_texts(df).select(*key, F.length("_subject").alias("_border"), "_all")
+    texts = with_counted_terms(texts, "_all", F.col("_border"), terms, "term", ("topic", "kind"), "_found")
+    # Only keywords need the tokens.
+    tokens = F.when(F.exists("_found", lambda hit: hit["kind"] == "keyword"), words(F.col("_all")))
+    rows = texts.withColumn("_words", tokens).withColumn("_hit", F.explode("_found"))
     term, is_phrase = F.col("_hit.term"), F.col("_hit.kind") == "phrase"
     rows = rows.where(is_phrase | ((F.col("_hit.kind") == "keyword") & F.array_contains("_words", term)))
-    score = F.when(is_phrase, _phrase_score(term)).otherwise(_keyword_score(term))
+    score = F.when(is_phrase, F.col("_hit.before") * F.lit(PHRASE_SUBJECT) + F.col("_hit.after") * F.lit(PHRASE_BODY)).otherwise(
+        F.col("_hit.before") * F.lit(KEYWORD_SUBJECT) + F.col("_hit.anywhere") * F.lit(KEYWORD_ANYWHERE))
     return rows.select(*key, "_hit.topic", "_hit.kind", term.alias("term"), score.alias("score"))
 
 

@@ -120,3 +120,20 @@ def test_sums_leave_the_worker_not_what_is_found(spark):
     plan = classify.keyword_scores_scanned(mails, rules, ("uid",))
     assert sorted(map(tuple, plan.collect())) == [(1, 0, 3, 0), (2, 0, 0, 0), (3, 0, 0, 3)]
     assert "array<struct" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_counted_terms_equal_replacing(spark):
+    """Texts were searched again for every term they contain; now the one pass counts, and only where terms don't overlap."""
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("ab É🙂", k=rng.randrange(1, 5))) for _ in range(40)} | {"aa", "aaa", "abab"})
+    texts = [("", ""), ("aaaa", "aaaaa"), *(tuple("".join(rng.choices("ab É🙂", k=rng.randrange(25))) for _ in range(2)) for _ in range(300))]
+    df = spark.createDataFrame([(i, f"{s} {b}", len(s)) for i, (s, b) in enumerate(texts)] + [(-1, None, 0)], "i int, text string, n int")
+    terms = spark.createDataFrame([(w, w.upper()) for w in words], "term string, name string")
+    for pass_bytes in (64_000_000, 60):
+        got = automaton.with_counted_terms(df, "text", F.col("n"), terms, "term", ("name",), "hits", pass_bytes)
+        for r in got.collect():
+            s, b = texts[r.i] if r.i >= 0 else ("", "")
+            whole = f"{s} {b}" if r.i >= 0 else ""
+            assert sorted(tuple(h) for h in r.hits) == sorted((w, w.upper(), s.count(w), b.count(w), whole.count(w)) for w in words if w in whole)
+    plan = topics.scanned_hits(df.selectExpr("i AS uid", "text AS subject", "text AS body_text"), terms.selectExpr("name AS topic", "'phrase' AS kind", "term"), ("uid",))
+    assert "replace(" not in plan._jdf.queryExecution().analyzed().toString()
