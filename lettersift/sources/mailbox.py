@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.decide import apply_actions
 from ..rules import ALL_MAIL
+from ..schemas import KEY
 from . import manifests
 
 _MANIFEST = "mailbox string, source_folder string, held_by bigint"
@@ -64,12 +65,17 @@ def update_mailbox(spark: SparkSession, path: str, plan: DataFrame, version: int
     """
     before = _parts_of(spark, path, version - 1)
     manifests.withdraw(spark, path, version)
-    steps = plan.where("apply")
+    # A plan can be costly: it is carried out once, and what it applies is kept until the version is committed.
+    kept = f"{path}/steps/version={version}"
+    steps = plan.where("apply").select(*KEY, "planned_action", "planned_label", "apply")
+    steps.write.mode("overwrite").parquet(kept)
+    steps = spark.read.schema(steps.schema).parquet(kept)
     touched = steps.select(*_PARTS).union(
         steps.where(F.col("planned_action") == "archive").select("mailbox", F.lit(ALL_MAIL).alias("source_folder"))).distinct()
     old = _rows(spark, path, before.join(touched, _PARTS, "left_semi"), schema)
-    new = _written(apply_actions(old, plan).select(*[f.name for f in schema]), path, version)
+    new = _written(apply_actions(old, steps).select(*[f.name for f in schema]), path, version)
     manifests.commit(before.join(touched, _PARTS, "left_anti").unionByName(new), path, version)
+    manifests.remove(spark, kept)
     return new
 
 

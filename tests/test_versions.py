@@ -111,3 +111,22 @@ def test_intervals_over_batches(spark, tmp_path, monkeypatch):
     assert late and len([n for n in manifests.names(spark, out) if n.startswith("version=")]) <= 6
     with pytest.raises(ValueError):
         intervals.interval_batch(spark.createDataFrame([], "received_at timestamp, category string"), 20, out)
+
+
+def test_a_plan_is_carried_out_once(spark, tmp_path):
+    rows = spark.createDataFrame([("m", "INBOX", i, ["a"], None) for i in range(6)], "mailbox string, source_folder string, uid long, flags array<string>, labels array<string>")
+    mailbox.create_mailbox(rows, str(tmp_path / "box"))
+    judged = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def judge(uid):
+        judged.add(1)
+        return "archive" if uid % 2 else "none"
+
+    plan = rows.select("mailbox", "source_folder", "uid", judge.asNondeterministic()("uid").alias("planned_action")).selectExpr(
+        "*", "CAST(NULL AS STRING) AS planned_label", "planned_action <> 'none' AS apply")
+    mailbox.update_mailbox(spark, str(tmp_path / "box"), plan, 1, rows.schema)
+    assert judged.value == 6
+    after = mailbox.read_mailbox(spark, str(tmp_path / "box"), rows.schema)
+    assert sorted((r.uid, r.source_folder) for r in after.collect()) == [(i, "[Gmail]/All Mail" if i % 2 else "INBOX") for i in range(6)]
+    assert not (tmp_path / "box" / "steps" / "version=1").exists()
