@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lettersift import rules as R
 from lettersift.sources import corpus, files, mime
 from lettersift.streaming import jobs
@@ -137,3 +138,16 @@ def test_stream_dedup_and_windows(spark, tmp_path):
     query = stats.writeStream.outputMode("complete").format("memory").queryName("stats").trigger(availableNow=True).option("checkpointLocation", f"{folder}/c2").start()
     query.awaitTermination()
     assert sum(r.transactions for r in spark.table("stats").collect()) == 4
+
+
+def test_batches_are_small_in_a_session_of_the_caller(spark, sf):
+    """Only a session of build_session had small batches; others sent 10,000 raw mails to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        queries()["dq_parse_failures"](spark, sf)
+        assert int(spark.conf.get(key)) <= 2000
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "16m"
+    finally:
+        spark.conf.set(key, before)
