@@ -2,7 +2,8 @@
 
 A term can only occur in a text that holds the term's first three characters, and a word only in a
 text that has it as a token. Joining on those keys gives candidates without comparing every text
-with every term; the candidates are then checked against the text itself.
+with every term; the candidates are then checked against the text itself. The keys of all texts are
+shuffled for that, many times the texts: a table known to be small is looked for in each row instead.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 
 _GRAM = 3
+# Terms looked for one after another in each text, where the caller vouches that there are no more.
+IN_ROW_TERMS = 200
 
 
 def _grams(text: Column) -> Column:
@@ -34,6 +37,16 @@ def substring_candidates(texts: DataFrame, key: Sequence[str], text: str, terms:
     return _candidates(texts, key, _grams(F.col(text)), "_gram", keyed).drop("_gram")
 
 
+def with_contained_terms(texts: DataFrame, text: str, terms: DataFrame, term: str, out: str) -> DataFrame:
+    """Add the rows of a table of few terms that a text contains, as an array in the text's own row.
+
+    The table is read once, as a scalar, and nothing is joined: neither texts nor pieces of them are shuffled.
+    """
+    table = terms.where(F.col(term) != "").agg(F.collect_list(F.struct(*terms.columns))).scalar()
+    rows = texts.withColumn("_table", table)
+    return rows.withColumn(out, F.filter("_table", lambda t: F.contains(F.col(text), t[term]))).drop("_table")
+
+
 def token_hits(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame, term: str) -> DataFrame:
     """Rows of ``texts`` with each term that is a token of the text."""
     return _candidates(texts, key, words(F.col(text)), term, terms).join(texts, list(key))

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import body_fallback
-from ..functions.text import has_word, or_empty, substring_count, words
+from ..functions.text import has_word, is_token, or_empty, substring_count, words
 from ..rules import (
     KEYWORD_ANYWHERE, KEYWORD_SUBJECT, PHRASE_BODY, PHRASE_SUBJECT, TOPIC_SCALE, Topic, build_topics,
 )
 from ..schemas import KEY
 from .automaton import with_counted_terms
 from .stage import computed
-from .terms import substring_hits, token_hits
+from .terms import IN_ROW_TERMS, substring_hits, token_hits, with_contained_terms
 
 
 def with_topic_texts(df: DataFrame) -> DataFrame:
@@ -101,19 +101,39 @@ def _topic_score(i: int, topic: Topic) -> Column:
     return _sum(parts)
 
 
-def keyword_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+def _few(most: int | None) -> bool:
+    return most is not None and most <= IN_ROW_TERMS
+
+
+def few_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The rows of :func:`keyword_hits` and :func:`phrase_hits`, with ``kind``, for few terms: texts stay in place and are read once."""
+    texts = with_topic_texts(df).select(*key, "_subject", "_body", "_all")
+    found = with_contained_terms(texts, "_all", terms.select("topic", "kind", "term"), "term", "_found")
+    rows = found.select("*", F.inline("_found"))
+    is_phrase, term = F.col("kind") == "phrase", F.col("term")
+    rows = rows.where(is_phrase | ((F.col("kind") == "keyword") & is_token(F.col("_all"), term)))
+    score = F.when(is_phrase, _phrase_score(term)).otherwise(_keyword_score(term))
+    return rows.select(*key, "topic", "kind", "term", score.alias("score"))
+
+
+def keyword_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY, most: int | None = None) -> DataFrame:
     """Rows ``key, topic, term, score`` for topic keywords that are tokens of a message.
 
-    ``terms`` is a table ``(topic, kind, term)`` of any size, joined on the token.
+    ``terms`` is a table ``(topic, kind, term)`` of any size, joined on the token; ``most`` says how many rows it can have,
+    and few are looked for in each row.
     """
+    if _few(most):
+        return few_hits(df, terms.where(F.col("kind") == "keyword"), key).drop("kind")
     texts = with_topic_texts(df).select(*key, "_subject", "_all")
     keywords = terms.where(F.col("kind") == "keyword").select("topic", "term")
     found = token_hits(texts, key, "_all", keywords, "term")
     return found.select(*key, "topic", "term", _keyword_score(F.col("term")).alias("score"))
 
 
-def phrase_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Rows ``key, topic, term, score`` for topic phrases contained in a message."""
+def phrase_hits(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY, most: int | None = None) -> DataFrame:
+    """Rows ``key, topic, term, score`` for topic phrases contained in a message; ``most`` as for :func:`keyword_hits`."""
+    if _few(most):
+        return few_hits(df, terms.where(F.col("kind") == "phrase"), key).drop("kind")
     texts = with_topic_texts(df).select(*key, "_subject", "_body", "_all")
     phrases = terms.where(F.col("kind") == "phrase").select("topic", "term")
     found = substring_hits(texts, key, "_all", phrases, "term")
@@ -143,7 +163,7 @@ def topic_scores_scanned(df: DataFrame, terms: DataFrame, key: Sequence[str] = K
     return hits.groupBy(*key, "topic").agg(F.sum("score").alias("score")).where(F.col("score") > 0)
 
 
-def topic_scores(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Score per message and topic from a term table; only topics that score."""
-    hits = keyword_hits(df, terms, key).unionByName(phrase_hits(df, terms, key))
+def topic_scores(df: DataFrame, terms: DataFrame, key: Sequence[str] = KEY, most: int | None = None) -> DataFrame:
+    """Score per message and topic from a term table; only topics that score. ``most`` as for :func:`keyword_hits`."""
+    hits = few_hits(df, terms, key) if _few(most) else keyword_hits(df, terms, key).unionByName(phrase_hits(df, terms, key))
     return hits.groupBy(*key, "topic").agg(F.sum("score").alias("score")).where(F.col("score") > 0)

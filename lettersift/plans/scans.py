@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import age_days as age
 from ..operators import classify, filters, ingest, scan, search, topics
-from ..rules import default_keyword_rules, topic_terms_table
+from ..rules import default_keyword_rules, topic_terms_bound, topic_terms_table
 from ..schemas import KEY
 from ..sources import corpus, mime
 from . import sql
@@ -154,13 +154,15 @@ def _topic_hits_sql(kind: str) -> str:
 
 @query(_topic_hits_sql("keyword"))
 def topic_keyword_hits(spark, sf):
-    hits = topics.keyword_hits(corpus.messages(spark, sf), topic_terms_table(spark, corpus.SETTINGS.topics))
+    names = corpus.SETTINGS.topics
+    hits = topics.keyword_hits(corpus.messages(spark, sf), topic_terms_table(spark, names), most=topic_terms_bound(names))
     return hits.select("uid", "topic", "term", "score")
 
 
 @query(_topic_hits_sql("phrase"))
 def topic_phrase_hits(spark, sf):
-    hits = topics.phrase_hits(corpus.messages(spark, sf), topic_terms_table(spark, corpus.SETTINGS.topics))
+    names = corpus.SETTINGS.topics
+    hits = topics.phrase_hits(corpus.messages(spark, sf), topic_terms_table(spark, names), most=topic_terms_bound(names))
     return hits.select("uid", "topic", "term", "score")
 
 

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from lettersift import rules as R
+from lettersift.functions.text import is_token, words
 from lettersift.operators import automaton, classify, ingest, senders, state, topics
 from lettersift.sources import corpus
 from lettersift.streaming import remembered
@@ -137,3 +138,23 @@ def test_counted_terms_equal_replacing(spark):
             assert sorted(tuple(h) for h in r.hits) == sorted((w, w.upper(), s.count(w), b.count(w), whole.count(w)) for w in words if w in whole)
     plan = topics.scanned_hits(df.selectExpr("i AS uid", "text AS subject", "text AS body_text"), terms.selectExpr("name AS topic", "'phrase' AS kind", "term"), ("uid",))
     assert "replace(" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_few_terms_move_no_texts(spark, sf):
+    rows, names = corpus.headers(spark, sf).withColumn("body_text", F.col("subject")), corpus.SETTINGS.topics
+    terms, most = R.topic_terms_table(spark, names), R.topic_terms_bound(names)
+    assert most == terms.count()
+    for hits in (topics.phrase_hits, topics.keyword_hits):
+        few, joined = hits(rows, terms, most=most), hits(rows, terms)
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, joined.collect())) != []
+        text = few._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text.split("Subquery")[0] and "Exchange" not in text.split("Subqueries")[0].split("Subquery")[0]
+    few, joined = topics.topic_scores(rows, terms, most=most), topics.topic_scores(rows, terms)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, joined.collect())) != []
+
+
+def test_terms_in_a_column_as_tokens(spark):
+    pairs = [("a ml b", "ml"), ("html", "ml"), ("ml", "ml"), ("x_ml", "ml"), ("ml.", "ml"), ("ml2", "ml"), ("äml", "ml"), ("c++ x", "c++"), ("", "a"), (None, "a")]
+    df = spark.createDataFrame(pairs, "text string, term string")
+    got = df.select(F.coalesce(is_token(F.col("text"), F.col("term")), F.lit(False)), F.array_contains(words(F.coalesce("text", F.lit(""))), F.col("term")))
+    assert all(a == b for a, b in got.collect())
