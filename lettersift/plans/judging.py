@@ -64,8 +64,10 @@ _TOPIC_ROWS = " UNION ALL ".join(
 
 @query(f"{sql.MESSAGES}{sql.topics('m')} {_TOPIC_ROWS}")
 def topic_scores(spark, sf):
-    """The join form, from a table of terms."""
-    scored = topics.topic_scores(corpus.folder_uids(corpus.messages(spark, sf)), R.topic_terms_table(spark, _SETTINGS.topics))
+    """From a table of terms, which the settings keep small."""
+    names = _SETTINGS.topics
+    scored = topics.topic_scores(
+        corpus.folder_uids(corpus.messages(spark, sf)), R.topic_terms_table(spark, names), most=R.topic_terms_bound(names))
     return scored.select("uid", "source_folder", "topic", "score")
 
 
