@@ -4,10 +4,14 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lettersift import rules as R
 from lettersift.operators import classify, epochs, ml, scoring
+from lettersift.plans import training
+from lettersift.rules import CATEGORIES
 
 KEY = "mailbox string, source_folder string, uid long, text string, label string"
 
@@ -113,3 +117,29 @@ def test_failing_scorer_leaves_rules_for_its_rows(spark):
     assert got == {i: (ruled[i], "rules") if i in (7, 22) else (R.CATEGORIES[1], "model") for i in range(40)}
     none = {r.uid: (r.category, r.method) for r in ml.classify_model(mails, scorer=scoring.safe_scorer(broken)).collect()}
     assert none == {i: (c, "rules") for i, c in ruled.items()}
+
+
+def test_gradients_come_from_one_partition_a_core(spark):
+    rows = spark.createDataFrame([(f"w{i % 7} x", CATEGORIES[i % 4]) for i in range(200)], "text string, label string").repartition(64)
+    training = ml._training(rows)
+    assert training.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and training.count() == 200
+
+
+@pytest.mark.parametrize("name", ["train_classifier", "evaluate_classifier", "train_linear", "select_linear", "classify_linear"])
+def test_training_texts_are_judged_once(spark, sf, monkeypatch, name):
+    """The rules judged every message again for each time that a fit read the texts."""
+    judged = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def count(category):
+        judged.add(1)
+        return category
+
+    def texts(spark, sf):
+        rows = spark.range(80).select(F.lit("m").alias("mailbox"), F.lit("INBOX").alias("source_folder"), F.col("id").alias("uid"))
+        label = F.get(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("uid") % 4).cast("int"))
+        return rows.select("*", F.concat(F.lit("w"), F.col("uid") % 4).alias("text"), count.asNondeterministic()(label).alias("label"))
+
+    monkeypatch.setattr(training, "_training_texts", texts)
+    assert queries()[name](spark, sf).collect()
+    assert judged.value == 80
