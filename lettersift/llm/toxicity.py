@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 from .samples import LABELLED_PER_CLASS, held_out, labelled_sample
 
 # Every document whose CRC32 leaves this rest is for testing.
@@ -277,6 +277,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED
     One row per input row. Missing and empty texts get the score of a text without any term. Without labels of both
     classes the lexicon and patterns vote alone. An empty table gives no rows. Columns named in ``carry`` are returned too.
     """
+    small_batches(docs.sparkSession)
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     docs = rows_in.select("doc_id", "text")
     sample, counts = labelled_sample(docs, labels, "toxic", MODULUS, REST, per_class)

@@ -115,6 +115,36 @@ def test_empty_table_and_dropping(docs_of):
     assert sorted(i for i in ids if i is not None) == [1, 2, 4, 5] and ids.count(None) == 1
 
 
+def test_batches_of_tiles_are_bounded():
+    """A batch of texts gave all its tiles at once, whatever their number; now a batch ends with the set that fills it."""
+    rng = np.random.default_rng(11)
+    bands = near.Bands(80, 100)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 4000))) for _ in range(400)]
+    texts += texts[:200] + [None, "", "one"]
+    batches = list(near.tile_rows(texts, 5, bands))
+    largest = max(sum(len(keys) for keys, _, _ in bands.tiles(near.shingle_set(t, 5))) for t in texts[:400])
+    assert len(batches) > 1 and max(b.num_rows for b in batches) < near.BATCH_TILES + largest
+    got = {(t, d) for b in batches for t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    wanted = set()
+    for text in texts:
+        shingles = near.shingle_set(text, 5)
+        for keys, _, _ in bands.tiles(shingles) if len(shingles) else []:
+            wanted |= {(int(k), near._digest(shingles)) for k in keys.view(np.int64)}
+    assert got == wanted and sum(b.num_rows for b in batches) == len(wanted)
+
+
+def test_batches_are_small_in_a_session_of_the_caller(spark, docs_of):
+    """Sessions not built by build_session sent 10,000 texts to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        near.drop_near_duplicates(docs_of(["a b c", "a b c d"]))
+        assert int(spark.conf.get(key)) <= 2000
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_tiles_of_linked_sets_meet():
     rng = np.random.default_rng(3)
     bands = near.Bands(80, 100)
