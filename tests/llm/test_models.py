@@ -214,6 +214,97 @@ def test_every_word_of_every_exact_run_is_covered(docs_of):
         seen.update(found)
 
 
+def changed(rng, words, every):
+    """Words with every so manieth one replaced."""
+    first = rng.randrange(every)
+    return [f"q{rng.randrange(10**7)}" if i % every == first else w for i, w in enumerate(words)]
+
+
+def test_a_changed_passage_is_found_where_others_have_its_seeds_first(docs_of):
+    rng = random.Random(12)
+    words = lambda n: [f"z{rng.randrange(10**7)}" for _ in range(n)]
+    one, two, long = words(70), words(60), words(120)
+    texts = {i: words(9) + one[i * 14:i * 14 + 14] + words(9) for i in range(5)}
+    texts |= {10: words(30) + one + words(12), 11: words(8) + changed(rng, one, 15) + words(25)}
+    # All but the end stands first in one document, the end in others; the whole in a third.
+    texts |= {20: words(20) + long[:62], 21: words(9) + long[60:90] + words(9), 22: words(9) + long[88:] + words(9)}
+    texts |= {23: changed(rng, long, 20) + words(30), 24: words(11) + changed(rng, long, 20) + words(5)}
+    # The first document with the seeds has them at an earlier place, in another order, too.
+    texts |= {30: two[40:] + words(30) + two[20:40] + words(30) + two[:20] + words(40) + two, 31: words(6) + changed(rng, two, 16) + words(6)}
+    got = {}
+    for r in repeats.repeated_passages(docs_of([(i, " ".join(w)) for i, w in texts.items()])).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.source_id))
+    assert sorted(got) == [11, 23, 24, 31]
+    for doc, source, start, end in ((11, 10, 8, 78), (24, 23, 11, 131), (31, 30, 6, 66)):
+        (row,) = got[doc]  # Fewer words than a window may be left off before a change at an end.
+        assert row[2] == source and start <= row[0] < start + repeats.WINDOW and end - repeats.WINDOW < row[1] <= end
+
+
+def test_changed_passages_of_all_earlier_documents_are_covered(docs_of):
+    rng = random.Random(13)
+    base = [[f"z{rng.randrange(10**6)}" for _ in range(200)] for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            source, a = rng.choice(base), rng.randrange(180)
+            text += [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(20))]
+            text += changed(rng, source[a:a + rng.randrange(5, 150)], rng.choice((10, 15, 25)))
+        texts.append(text)
+    got = {}
+    for r in repeats.repeated_passages(docs_of([" ".join(t) for t in texts])).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    hashes = [repeats.word_hashes(" ".join(t)) for t in texts]
+    known = [repeats.seeds(h) for h in hashes]
+    missed = total = 0
+    for i, a in enumerate(hashes):
+        for j, b in enumerate(hashes[:i]):
+            places = [(x, -y) for s, x in zip(*known[i], strict=True) for t, y in zip(*known[j], strict=True) if s == t]
+            places = np.abs(np.array(sorted(places)))
+            for chain in repeats.chains(*places.T) if len(places) > 1 else []:
+                for part in repeats.split(repeats.runs(*places[chain].T), repeats.LIKE) if len(chain) > 1 else []:
+                    for start, end, *_ in repeats.alike_parts(repeats.pairs(a, b, part), repeats.LIKE, repeats.MIN_WORDS, repeats.MIN_WORDS):
+                        total += end - start
+                        # The words between a passage's end and its seed next to it may be left off.
+                        inner = set(range(start + repeats.WINDOW - 1, end - repeats.WINDOW + 1))
+                        missed += len(inner - got.get(i, set()))
+    assert total > 10_000 and missed == 0
+
+
+def test_a_line_that_all_share_makes_no_pairs():
+    rng = random.Random(14)
+    line = [f"l{i}" for i in range(25)]
+    keys = []
+    for _ in range(20):
+        words = " ".join([f"z{rng.randrange(10**7)}" for _ in range(60)] + line + [f"z{rng.randrange(10**7)}" for _ in range(60)])
+        hashes = repeats.word_hashes(words)
+        seed, at = repeats.seeds(hashes)
+        shared = (at >= 60) & (at <= 80)
+        at, seed = at[shared], seed[shared]
+        owner, around = np.zeros(len(at), np.int64), np.full(len(at), 65537)
+        keys += repeats.far_pairs(owner, at, seed, around, np.ones(len(at), bool), 50, 0.8, 5, 10)[1].tolist()
+    assert not keys
+
+
+def test_runs_of_one_word_are_matched_from_their_ends():
+    one, two = np.full(30, 7, np.uint64), np.full(25, 7, np.uint64)
+    one[28:], two[24] = 8, 8
+    at, other_at = np.array([*range(25), 40, 60, 61, 90, 120]), np.array([*range(100, 120), 140, 150, 151, 152, 170])
+    got = set(zip(*(c.tolist() for c in repeats.met(at, one, other_at, two, 3)), strict=True))
+    # Runs of 25, 1 and 2 places against runs of 20, 1 and 3, each from the start and from the end.
+    starts, ends = (0, 40, 60), (24, 40, 61)
+    lengths, other_lengths = (25, 1, 2), (20, 1, 3)
+    other_starts, other_ends = (100, 140, 150), (119, 140, 152)
+    want = {(a + i, b + i) for a, n in zip(starts, lengths, strict=True) for b, m in zip(other_starts, other_lengths, strict=True)
+            for i in range(min(n, m, 4))}
+    want |= {(a - i, b - i) for a, n in zip(ends, lengths, strict=True) for b, m in zip(other_ends, other_lengths, strict=True)
+             for i in range(min(n, m, 4))}
+    assert want | {(90, 170), (120, 170)} <= got and len(got) <= 2 * len(want)
+    x, y = repeats.met(at, one, other_at, two, 3)
+    assert all(p < r or (p == r and q > s) for p, q, r, s in zip(x, y, x[1:], y[1:], strict=False))
+    assert not len(repeats.met(at[:0], one[:0], other_at, two, 3)[0])
+
+
 def scores(rows, labels, name):
     test = [(r.score, r.predicted, labels[r.doc_id][name]) for r in rows if r.held_out and r.doc_id in labels]
     caught = np.mean([p for _, p, y in test if y == 1])
